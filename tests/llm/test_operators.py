@@ -1,0 +1,224 @@
+"""The operators over small tables with every odd case, against brute force or SQL."""
+
+import collections
+import hashlib
+import re
+
+import pytest
+
+from compare import same
+from tributary.llm import bpe, decontaminate, jaccard, language_id, line_dedup, pii, queries, substring_dedup, toxicity, warc, webp
+
+SF = "/root/testdata/sf0.001"
+PASSAGE = "This passage of some length is found in several documents of the table and so it has to be caught wherever it stands, be it at the begin or at the end, or in the middle of other text that differs from case to case."
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    """Nulls in each column, empty, blank and long texts, exact and near copies, repeated rows, columns with names of our own."""
+    words = [f"word{i * 7919 % 1013}" for i in range(600)]
+    near = " ".join(words[:200])
+    texts = {
+        1: near, 2: near, 3: near.replace("word0", "other"), 4: None, 5: "", 6: "   \n \n", 7: PASSAGE + " First.", 8: "Second. " + PASSAGE, 9: "a", 10: "two words", 11: "two words",
+        12: "line one of some length, which repeats in other documents\nshort\nx\n\nunique twelve", 13: "line one of some length, which repeats in other documents\nunique thirteen\nshort\nx", 14: "x\nx\nx",
+        15: " ".join(words) * 60, 16: "ab" * 700, 17: "Ünïcödé — 日本語 🎉\tand 'quotes' it's", 18: "call +1 (243) 555-5526 or a.b@x.org",
+    }
+    rows = [(i, t, "en" if i % 3 else None, "s", None, i, "k") for i, t in texts.items()]
+    rows += [rows[0], (None, "no id, but text that is long enough to count", None, None, 3, 1, "k"), (None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, c long, k string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(documents):
+    return documents.where("false")
+
+
+def plain_rows(documents):
+    return [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+
+
+def raw(t):
+    return (t or "").encode()
+
+
+def test_language_id(spark, documents, empty):
+    got = language_id.identify(documents).collect()
+    assert len(got) == documents.count() and {r.lang_pred for r in got} <= {"en", "und"}
+    import zlib
+
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert {r.lang_pred for r in got if r.doc_id in (4, 5, 6)} == {"und"}
+    assert language_id.identify(empty).count() == 0
+
+
+def test_language_id_held_out(spark):
+    df = queries.QUERIES["op1_language_id"](spark, "/root/testdata/sf0.01")
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    rows = [r for r in df.join(truth, "doc_id").where("held_out").collect() if r.lang]
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows) > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_duckdb(spark, name):
+    same(spark, queries.QUERIES[name], queries.ORACLES[name], SF)
+
+
+def test_warc(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a b", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (None, "u", "x"), (2, None, "x"), (5, "u", "WARC/1.1\r\n\r\nü")], "page_id long, url string, html string")
+    path = warc.write(pages, f"file://{tmp_path}/w")
+    got = {(r.page_id, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload).decode()) for r in warc.read(spark, path, verify="true").collect()}
+    assert got == {(1, "revisit", 2, None), (2, "response", None, "x"), (3, "revisit", 4, None), (4, "response", None, ""), (None, "response", None, "x"), (5, "response", None, "WARC/1.1\r\n\r\nü")}
+    some = warc.read(spark, path).where("record_type = 'revisit' and page_id in (1, 2)")
+    assert [r.page_id for r in some.collect()] == [1]
+    assert warc.read(spark, path, payload="none").where("payload is not null").count() == 0
+    assert warc.read(spark, warc.write(pages.where("false"), f"file://{tmp_path}/e")).count() == 0
+    large = warc.write(pages, f"file://{tmp_path}/l", min_payload_bytes=1)
+    assert {r.page_id for r in warc.read(spark, large).where("record_type = 'revisit'").collect()} == {1}
+
+
+def test_webp(documents, empty):
+    for r in webp.read_media(webp.to_media(documents)).join(documents.select("doc_id", "text").distinct(), "doc_id").collect():
+        payload = webp.padded(raw(r.text))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw(r.text)), len(payload), hashlib.sha256(payload).hexdigest())
+    assert webp.read_media(webp.to_media(empty)).count() == 0
+
+
+def brute_classes(rows, threshold=0.8):
+    sets = []
+    for i, t in rows:
+        w = re.findall(r"\w+", (t or "").lower())
+        sets.append((i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])))
+    n, group = len(sets), list(range(len(sets)))
+    links = [0] * n
+    for a in range(n):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and len(x & y) >= threshold * len(x | y):
+                links[a] += 1
+                links[b] += 1
+                group = [group[b] if g == group[a] else g for g in group]
+    first = collections.defaultdict(list)
+    for (i, _), g in zip(sets, group, strict=True):
+        if i is not None:
+            first[g].append(i)
+    return sorted(((i, min(first[g], default=None), k) for (i, _), g, k in zip(sets, group, links, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_jaccard(spark, documents, block):
+    extra = spark.createDataFrame([(100 + i, " ".join(f"w{j}" if j != 3 * i else "changed" for j in range(90))) for i in range(12)], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").unionByName(extra)
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(docs, block=block).collect()), key=str)
+    assert got == brute_classes(plain_rows(docs))
+
+
+def test_jaccard_stage(documents, empty):
+    kept = jaccard.one_of_each(documents)
+    assert kept.columns == documents.columns
+    assert {r.doc_id for r in kept.collect()} == set(range(1, 19)) - {2, 3, 8, 11} | {None}
+    assert jaccard.classes(empty).count() == 0
+
+
+def test_bpe(documents, empty):
+    import public_tokenizers as public
+    import tiktoken
+
+    theirs = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=bpe.encoder(bpe.vocabulary_path()).ranks, special_tokens={})
+    for r in bpe.encode_documents(documents, keep=True).collect():
+        assert r.ids == theirs.encode_ordinary(r.text or "") and bytes(r.decoded) == raw(r.text) and r.n_tokens == len(r.ids)
+    assert {r.doc_id: r.decoded_sha256 for r in bpe.digests(documents).collect()}[17] == hashlib.sha256(raw(dict(plain_rows(documents))[17])).hexdigest()
+    assert bpe.digests(empty).count() == 0
+
+
+def test_decontamination(spark, documents, empty):
+    items = spark.createDataFrame([(1, PASSAGE), (2, "nothing of this kind is anywhere in these documents at all, is it"), (3, None), (None, PASSAGE), (4, "two words")], "item_id long, text string")
+    for chars in (8_000_000, 60):
+        found = decontaminate.contaminated(documents, items, block_chars=chars)
+        assert {(r.doc_id, r.item_id) for r in found.collect()} == {(7, 1), (8, 1), (10, 4), (11, 4)}
+        kept = decontaminate.clean(documents, items, block_chars=chars)
+        assert kept.columns == documents.columns and kept.count() == documents.count() - 4
+    assert decontaminate.contaminated(empty, items).count() == 0 == decontaminate.contaminated(documents, items.where("false")).count()
+
+
+def test_pii(documents, empty):
+    got = {r.doc_id: r for r in pii.pseudonymize(documents, "key").collect()}
+    assert [e.kind for e in got[18].entities] == ["phone", "email"] and got[18].n_found == 2
+    assert pii.restore(got[18].text, b"key") == dict(plain_rows(documents))[18] and got[4].text is None and got[5].text == ""
+    assert pii.pseudonymize(empty).count() == 0
+
+
+def brute_lines(rows, min_chars=40):
+    order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
+    seen, gone = set(), collections.defaultdict(set)
+    for r in order:
+        lines = [(i, x.strip(" ")) for i, x in enumerate(r[1].split("\n")) if x.strip(" ")]
+        for a, (i, x) in enumerate(lines):
+            if (x,) in seen and len(x) >= min_chars:
+                gone[r].add(i)
+            seen.add((x,))
+            if a + 1 < len(lines):
+                pair = (x, lines[a + 1][1])
+                if pair in seen:
+                    gone[r] |= {i, lines[a + 1][0]}
+                seen.add(pair)
+    return sorted(((i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]), len(gone[i, t])) for i, t in rows), key=str)
+
+
+def test_line_dedup(documents, empty):
+    done = line_dedup.deduplicate(documents)
+    assert done.columns == [*documents.columns, "n_lines", "n_removed", "longest_run"]
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in done.collect()), key=str) == brute_lines(plain_rows(documents))
+    assert line_dedup.deduplicate(empty).count() == 0
+
+
+def test_line_dedup_is_native(documents):
+    plan = line_dedup.deduplicate(documents)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def brute_repeats(rows, length=200):
+    data = [(i, raw(t)) for i, t in rows]
+    count = collections.Counter(b[j : j + length] for _, b in data for j in range(len(b) - length + 1))
+    out = []
+    for i, b in data:
+        hit = [False] * len(b)
+        for j in range(len(b) - length + 1):
+            if count[b[j : j + length]] > 1:
+                hit[j : j + length] = [True] * length
+        kept = bytes(x for x, h in zip(b, hit, strict=True) if not h)
+        out.append((i, len(b), sum(hit), sum(h and (k == 0 or not hit[k - 1]) for k, h in enumerate(hit)), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("group", [256, 2])
+def test_substring_dedup(spark, documents, monkeypatch, group):
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    extra = spark.createDataFrame([(50 + i, f"{'pad ' * (i * 3)}{PASSAGE}{i}{'y' * i}") for i in range(9)], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").where("doc_id <> 15 or doc_id is null").unionByName(extra)
+    assert sorted((tuple(r) for r in substring_dedup.digests(docs).collect()), key=str) == brute_repeats(plain_rows(docs))
+
+
+def test_substring_dedup_outputs(documents, empty):
+    rows = {r.doc_id: r for r in substring_dedup.remove(documents.where("doc_id in (7, 8, 9)")).collect()}
+    assert bytes(rows[7].kept) == b" First." and bytes(rows[8].kept) == b"Second. " and rows[9].spans == []
+    assert substring_dedup.digests(empty).count() == 0
+
+
+def test_toxicity(spark, documents, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 19)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    for own in (labels, labels.where("toxic = 0"), labels.where("false")):
+        got = toxicity.score(documents, own).collect()
+        assert len(got) == documents.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert toxicity.score(documents, labels, keep=True).columns == [*documents.columns, "score", "predicted"]
+    assert toxicity.score(empty, labels).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    bad = [r.score for r in rows if r.toxic == 1]
+    good = [r.score for r in rows if r.toxic == 0]
+    wins = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+    assert wins > 0.95

@@ -75,8 +75,8 @@ def _candidates(sig: np.ndarray, side: np.ndarray, cross: bool, band: int, least
     """Pairs of a cell that are left after pruning and that share no earlier band."""
     keys = np.ascontiguousarray(sig).view(np.uint64)
     rows, columns = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(sig)),) * 2
-    kept = []
-    for a in range(0, len(rows), 64):
+    kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a in range(0, len(rows) if len(columns) else 0, 64):
         some = rows[a : a + 64]
         agree = (sig[some, None, :STEP] == sig[None, columns, :STEP]).sum(axis=2)
         i, j = np.nonzero(agree >= least[STEP])
@@ -93,7 +93,7 @@ def _candidates(sig: np.ndarray, side: np.ndarray, cross: bool, band: int, least
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets."""
+    """Sizes of the intersections of all pairs of different sets; the diagonal means nothing."""
     values, of = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     often = np.bincount(of, minlength=len(values)) > 1

@@ -33,7 +33,7 @@ _PATTERNS = (
     ("date", r"(?<![\w.-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?!\w)|(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/])"),
     ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ -]?(?:\(\d{2,4}\)|\d{2,4})(?:[ -]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\w)"),
+    ("phone", r"(?<![\w+])\+1[ -]?(?:\(\d{3}\)|\d{3})[ -]?\d{3}[ -]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ -]?(?:\(\d{2,4}\)|\d{2,4})(?:[ -]?\d{2,4}){1,4}(?!\w|\.\d)|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\w)"),
     ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w)"),
 )
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS), re.ASCII)

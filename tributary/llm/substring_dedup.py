@@ -113,7 +113,7 @@ def column_sort(contexts: list[bytes], left: np.ndarray, before: int, length: in
             stays = left[order] <= c
             if not stays.all():  # a context that has ended leaves; its neighbours share the least of both prefixes
                 ends = np.flatnonzero(stays)
-                lcp = np.minimum.reduceat(lcp, np.append(0, ends[:-1] + 1)) if len(ends) else lcp[:0]
+                lcp = np.minimum.reduceat(lcp[: ends[-1] + 1], np.append(0, ends[:-1] + 1)) if len(ends) else lcp[:0]
                 order = order[ends]
             fresh = np.flatnonzero(right == c + 1)
             if len(fresh):  # suffixes of one symbol follow an empty one, which is less than all others
