@@ -1,6 +1,7 @@
 import datetime as dt
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,64 @@ def test_backfill_resumes(spark, source, tmp_path, monkeypatch):
     assert landed(sync.table(cat.streams[0])) == [(1, "a", "r"), (2, "b", "r"), (3, "c", "r")]
 
 
+def test_snapshot_restarts_from_its_first_position(spark, source, tmp_path, monkeypatch):
+    """Changes between a killed snapshot and its restart are applied, not skipped."""
+    log(spark, tmp_path, [(0, "", "none", 0)])
+    state = State(str(tmp_path / "state.json"))
+    sync = Sync(spark, source, str(tmp_path / "out"), state, ingested_at=AT)
+    cat = catalog(source, "cdc")
+    scan, calls = source.scan, []
+
+    def broken(stream, chunk):
+        calls.append(chunk)
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        return scan(stream, chunk)
+
+    monkeypatch.setattr(source, "scan", broken)
+    with pytest.raises(RuntimeError):
+        sync.run(cat)
+    log(spark, tmp_path, [(1, "a2", "update", 1), (4, "d", "insert", 2)])
+    sync.state = State.load(state.path)
+    sync.run(cat)
+    assert landed(sync.table(cat.streams[0])) == [(1, "a2", "u"), (2, "b", "r"), (3, "c", "r"), (4, "d", "c")]
+    assert sync.state.position == {"t": 2}
+
+
+def test_incremental_append_has_each_row_once(spark, source, tmp_path, monkeypatch):
+    """A row that arrives between the read of the maximum and the read of the rows is left to the next run."""
+    sync = Sync(spark, source, str(tmp_path / "out"), State(), ingested_at=AT)
+    cat = catalog(source, "incremental", "k", append_mode=True)
+    sync.run(cat)
+    top = source.max_cursor
+    monkeypatch.setattr(source, "max_cursor", lambda s, c: {"k": 4})
+    rows(spark, [(3, "c"), (4, "d"), (5, "e")]).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+    sync.run(cat)
+    monkeypatch.setattr(source, "max_cursor", top)
+    for _ in range(2):
+        sync.run(cat)
+    assert landed(sync.table(cat.streams[0])) == [(1, "a", "r"), (2, "b", "r"), (3, "c", "r"), (4, "d", "u"), (5, "e", "u")]
+
+
+def test_files_incremental(spark, tmp_path):
+    base = tmp_path / "in/s"
+    base.mkdir(parents=True)
+    (base / "a.jsonl").write_text('{"k": 1}\n')
+    os.utime(base / "a.jsonl", (1_700_000_000, 1_700_000_000))
+    src = FileSource(spark, {"path": str(tmp_path / "in"), "format": "json"})
+    s = src.discover()[0]
+    s.sync_mode, s.cursor = "incremental", "_last_modified_time"
+    sync, cat = Sync(spark, src, str(tmp_path / "out"), State(), ingested_at=AT), Catalog([s], [Configured(s.id, append_mode=True)])
+    assert src.max_cursor(s, ["_last_modified_time"]) == {"_last_modified_time": "2023-11-14T22:13:20Z"}
+    sync.run(cat)
+    (base / "b.jsonl").write_text('{"k": 2}\n')
+    os.utime(base / "b.jsonl", (1_700_000_100, 1_700_000_100))
+    for _ in range(2):
+        sync.run(cat)
+    got = sorted((r.k, r._op_type) for r in sync.table(s).read().collect())
+    assert got == [(1.0, "r"), (2.0, "u")]
+
+
 def test_commits(spark, tmp_path):
     t = Table(spark, str(tmp_path / "x"))
     t.commit(rows(spark, [(1, "a")]), batch_id="1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,10 @@ def modified_column() -> Column:
     return F.date_format(F.col("_metadata.file_modification_time"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def _second(ms: int) -> str:
+    return dt.datetime.fromtimestamp(ms // 1000, dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
 @register("files")
 class FileSource(Source):
     options = {"path": "string!", "format": "string!", "file_pattern": "string", "delimiter": "string", "has_header": "boolean", "skip_rows": "integer", "multi_line": "boolean", "row_identifier": "string", "prefer_long": "boolean", "compression": "string"}
@@ -71,11 +76,16 @@ class FileSource(Source):
     def table(self, stream: Stream) -> DataFrame:
         return self.read(stream, self._paths(stream))
 
-    def incremental(self, stream: Stream, last: dict, seen: tuple[str, ...] = ()) -> DataFrame:
-        """Files modified after the cursor, and files of its very second that weren't there (not in ``seen``)."""
+    def max_cursor(self, stream: Stream, cursors: list[str]) -> dict:
+        """The latest time of modification, from the listing alone."""
+        if cursors != [MODIFIED]:
+            return super().max_cursor(stream, cursors)
+        return {MODIFIED: max((_second(f[3]) for f in self.files() if f[0] == stream.name), default=None)}
+
+    def incremental(self, stream: Stream, last: dict, seen: tuple[str, ...] | None = None) -> DataFrame:
+        """Files modified after the cursor; with ``seen``, also files of its very second that aren't in it."""
         at = last[MODIFIED]
-        iso = lambda ms: __import__("datetime").datetime.fromtimestamp(ms // 1000, __import__("datetime").timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-        new = [f[1] for f in self.files() if f[0] == stream.name and (iso(f[3]) > at or (iso(f[3]) == at and f[1] not in seen))]
+        new = [f[1] for f in self.files() if f[0] == stream.name and (_second(f[3]) > at or (seen is not None and _second(f[3]) == at and f[1] not in seen))]
         return self.read(stream, new) if new else self.table(stream).limit(0)
 
     def read(self, stream: Stream, paths: list[str]) -> DataFrame:

@@ -65,4 +65,6 @@ class State:
     def reset(self, stream: str) -> None:
         self.streams.pop(stream, None)
         self.finished.discard(stream)
+        if self.position is not None:
+            self.position.pop(stream, None)
         self.save()

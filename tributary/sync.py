@@ -80,7 +80,7 @@ class Sync:
             self.state.remove_chunk(s.id, (low, high))
 
     def incremental(self, c: Configured, s: Stream) -> None:
-        """The first time: maxima, then a backfill up to them. Later: rows past the cursor, as updates."""
+        """The first time: maxima, then a backfill up to them. Later: rows past the cursor and up to the new maxima, as updates."""
         cursors = s.cursor.split(":")
         table = self.table(s)
         committed = (table.meta().get("position") or {}).get("cursor")
@@ -94,7 +94,8 @@ class Sync:
             self.state.set_cursor(s.id, **as_text(top))
             return
         last = {k: self.state.cursor(s.id, k) for k in cursors}
-        rows = self._shape(self.source.incremental(s, last), c, s)
+        # rows that arrive after the maxima were read are left to the next run, so an append log has each row once
+        rows = self._shape(self.source.incremental(s, last).where(threshold(top)), c, s)
         new = {k: max(as_text(top)[k], last[k]) if top[k] is not None and last[k] is not None else (as_text(top)[k] if top[k] is not None else last[k]) for k in cursors}
         landed = self._land(envelope(rows, s.primary_key, UPDATE, self.ingested_at), c, s)
         mode = write_mode(False, c.append_mode, True)
@@ -111,11 +112,12 @@ class Sync:
             self.state.set_position((self.state.position or {}) | {s.id: own}, s.id)
         end = self.source.end_position(s)
         if s.sync_mode == CDC and s.id not in self.state.finished:
-            start = end
+            if own is None:  # kept before the snapshot begins: a restart reads changes from here, not from its own start
+                own = end
+                self.state.set_position((self.state.position or {}) | {s.id: own})
             self.backfill(c, s)
-            table.commit(None, batch_id=f"{s.id}_snapshot_{start}", position={"log": own if own is not None else self.config_start(start)}, dedup_inserts=True)
-            self.state.set_position((self.state.position or {}) | {s.id: own if own is not None else self.config_start(start)}, s.id)
-            own = (self.state.position or {}).get(s.id)
+            table.commit(None, batch_id=f"{s.id}_snapshot_{own}", position={"log": own}, dedup_inserts=True)
+            self.state.set_position((self.state.position or {}) | {s.id: own}, s.id)
         if own == end:
             return
         overlap = bool(table.meta().get("dedup_inserts"))
@@ -129,11 +131,6 @@ class Sync:
         table.commit(self._land(stamped, c, s), batch_id=f"{s.id}_{own}_{end}", mode=mode, order=[OP_TYPE], position={"log": end}, dedup_inserts=False)
         self.state.set_position((self.state.position or {}) | {s.id: end}, s.id)
 
-    @staticmethod
-    def config_start(end):
-        """Where changes begin after a snapshot: at the end pinned before it."""
-        return end
-
     def clear(self, catalog: Catalog) -> None:
         """Drop the tables and state of selected streams."""
         streams = {s.id: s for s in catalog.streams}
