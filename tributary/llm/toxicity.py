@@ -7,7 +7,8 @@ from. After training, the model is linear in a subword, so each hash bucket keep
 difference of the logits, and whole texts are scored in vectorised passes over their characters.
 
 Training uses a bounded sample: at most ``max_positive`` and ``max_negative`` labelled texts of at most
-``max_train_chars`` characters, weighted to the shares that the labels have in the whole table.
+``max_train_chars`` characters, those whose ids have the least hashes (twice as many labels are drawn, as longer texts
+fall out), weighted to the shares that the labels have in the whole table.
 
 Cases: null and empty texts, and texts without words, get the score of the bias alone (about the share of label 1);
 rows that repeat each get the same score; documents with several labels count once for each; null labels are left
@@ -150,10 +151,11 @@ def train(documents: DataFrame, labels: DataFrame, *, max_positive: int = 2000,
     marked = labels.where(F.col("toxic").isin(0, 1) & (crc_mod("doc_id", folds) != held_out)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     most = {1: max_positive, 0: max_negative}
-    chance = F.when(F.col("toxic") == 1, min(1.0, 2 * max_positive / max(1, counts.get(1, 0)))).otherwise(min(1.0, 2 * max_negative / max(1, counts.get(0, 0))))
-    drawn = marked.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000))).where(F.col("draw") < chance * 1_000_000)
+    draw = F.xxhash64("doc_id", F.lit("draw"))
+    drawn = [marked.where(F.col("toxic") == k).withColumn("draw", draw).orderBy("draw", "doc_id").limit(2 * n) for k, n in most.items()]
     whole = documents.where(F.length("text").between(1, max_train_chars)).select("doc_id", "text")
-    rows = whole.join(F.broadcast(drawn), "doc_id").collect()  # twice the sample's bound at most, by the draw
+    bound = 2 * sum(most.values())  # of the labels broadcast and of the texts collected, whatever ids repeat
+    rows = whole.join(F.broadcast(drawn[0].unionAll(drawn[1])), "doc_id").orderBy("draw", "doc_id", "text").limit(bound).collect()
     kept: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(rows, key=lambda r: (r.draw, r.doc_id, r.text)):
         if len(kept[r.toxic]) < most[r.toxic]:
