@@ -151,7 +151,7 @@ def train(documents: DataFrame, labels: DataFrame, *, max_positive: int = 2000,
     marked = labels.where(F.col("toxic").isin(0, 1) & (crc_mod("doc_id", folds) != held_out)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     most = {1: max_positive, 0: max_negative}
-    draw = F.xxhash64("doc_id", F.lit("draw"))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000))
     drawn = [marked.where(F.col("toxic") == k).withColumn("draw", draw).orderBy("draw", "doc_id").limit(2 * n) for k, n in most.items()]
     whole = documents.where(F.length("text").between(1, max_train_chars)).select("doc_id", "text")
     bound = 2 * sum(most.values())  # of the labels broadcast and of the texts collected, whatever ids repeat
