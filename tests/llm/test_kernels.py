@@ -229,3 +229,18 @@ def test_anchors_depend_on_the_string_alone():
             assert any(s <= off <= s + substring_dedup.LENGTH - substring_dedup.ANCHOR for _, off in inside)
         found.append({x for x in inside if 112 <= x[1] <= 400 - 200})
     assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_toxicity_pieces_of_long_texts():
+    """A text that is cut scores as one that is not, and equal texts score alike whatever is beside them."""
+    rng = np.random.default_rng(3)
+    model = toxicity.ToxicityModel(rng.normal(0, 1, toxicity.BUCKETS), -2.0)
+    words = ["abc", "Straße", "naïve", "x_1", "ΟΔΟΣ", "don't", "--", "\n"]
+    long = " ".join(words[i] for i in rng.integers(0, len(words), 3000))
+    texts = [long, "", None, "abc", "q" * 5000, long, "...", long[:777]]
+    whole = model.score(texts, 10**9)
+    for most in (1, 7, 100, 4096):
+        assert "".join(toxicity.cut(long, most)) == long
+        small = model.score(texts, most)
+        assert small[0] == small[5]
+        assert np.allclose(small, whole, rtol=0, atol=1e-12)

@@ -19,6 +19,8 @@ label 1 (0 without any).
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +35,7 @@ _LOW, _HIGH = 3, 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(1_000_003)
 _IS_WORD = None
+_EDGE = re.compile(r"\W")
 
 
 def _is_word() -> np.ndarray:
@@ -86,14 +89,29 @@ class ToxicityModel:
     margin: np.ndarray
     bias: float
 
-    def score(self, texts: list[str | None], slice_chars: int = 500_000) -> list[float]:
-        out: list[float] = []
-        for a, b in slices([len(t or "") for t in texts], slice_chars):
-            bucket, of = features(texts[a:b])
-            total = np.bincount(of, self.margin[bucket], minlength=b - a)
-            z = self.bias + GAIN * total / np.maximum(1, np.bincount(of, minlength=b - a))
-            out += (1 / (1 + np.exp(-np.clip(z, -700, 700)))).tolist()
-        return out
+    def score(self, texts: list[str | None], slice_chars: int = 250_000) -> list[float]:
+        """Scores of whole texts. Long ones are cut between words, where no subword crosses, so memory stays bounded; sums of pieces are added in order."""
+        owner, pieces = [], []
+        for i, text in enumerate(texts):
+            for piece in cut(text.lower() if text else "", slice_chars):
+                owner.append(i)
+                pieces.append(piece)
+        total, count = np.zeros(len(pieces)), np.zeros(len(pieces))
+        for a, b in slices([len(p) for p in pieces], slice_chars):
+            bucket, of = features(pieces[a:b])
+            total[a:b] = np.bincount(of, self.margin[bucket], minlength=b - a)
+            count[a:b] = np.bincount(of, minlength=b - a)
+        z = self.bias + GAIN * np.bincount(owner, total, len(texts)) / np.maximum(1, np.bincount(owner, count, len(texts)))
+        return (1 / (1 + np.exp(-np.clip(z, -700, 700)))).tolist()
+
+
+def cut(text: str, most: int) -> Iterator[str]:
+    """Pieces of a text that begin outside words, of at least ``most`` characters but for the last."""
+    begin = 0
+    while len(text) - begin > most and (edge := _EDGE.search(text, begin + most)):
+        yield text[begin : edge.start()]
+        begin = edge.start()
+    yield text[begin:]
 
 
 def fit(texts: list[str], labels: list[int], weights: list[float] | None = None, *, dim: int = 8, epochs: int = 7, batch: int = 64, rate: float = 0.1, seed: int = 7) -> ToxicityModel:
