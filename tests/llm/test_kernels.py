@@ -161,6 +161,29 @@ def test_decontamination():
     assert decontaminate.TestIndex([]).find(["a b c"]) == []
 
 
+def test_decontamination_finds_any_run():
+    rng = random.Random(6)
+    item = [f"w{i}" for i in range(60)]
+    index = decontaminate.TestIndex([(1, " ".join(item))])
+    mixed = lambda *parts: " ".join(w if same else "zzz" for w, same in zip(item, [same for n, same in parts for _ in range(n)], strict=False))
+    for parts in (((25, 1), (15, 0), (20, 1)), ((13, 1), (10, 0), (13, 1)), ((30, 1), (12, 0), (15, 1))):
+        assert [h[:2] for h in index.find([mixed(*parts)])] == [(0, 1)]
+    assert index.find([mixed((30, 1), (30, 0))]) == [(0, 1, 30, 30, 0)]
+    # an alignment that passes several documents counts in each of them
+    assert [h[0] for h in index.find([" ".join(item[:20]), " ".join(item[21:45]), "other words"])] == [0, 1]
+    seeded = 0
+    for _ in range(400):
+        rate, n = rng.choice((0.6, 0.75, 0.85)), rng.randint(13, 60)
+        same = [rng.random() < rate for _ in range(n)]
+        text = " ".join(w if x else "zzz" for w, x in zip(item, same, strict=False))
+        hit = any(all(same[i + k] for k, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for i in range(n - len(m) + 1))
+        runs = {(b - a, sum(same[a:b])) for a in range(n) for b in range(a + 13, n + 1) if 5 * sum(same[a:b]) >= 4 * (b - a)}
+        got = index.find([text])
+        assert bool(got) == (hit and bool(runs)) and all((h[2], h[3]) in runs and h[3] == sum(same[h[4] : h[4] + h[2]]) for h in got)
+        seeded += bool(got)
+    assert 100 < seeded < 400
+
+
 def test_feistel():
     net = pii.Feistel(b"k")
     for n in (1, 2, 3, 10, 97, 1000):

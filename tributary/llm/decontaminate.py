@@ -2,9 +2,10 @@
 
 A seed is a fixed mask over consecutive words: at its ones the words of a test item and of a document must be equal,
 at its zeros they may differ. Hashes of all seeds of the test items are joined with those of all documents. A hit
-fixes how an item lies along a document; along that alignment, words that agree count 1 and substituted words count
--1, and the best run around the hits is taken. A document is contaminated by an item if that run has ``min_words``
-words (all of the item's, if it has fewer) of which ``min_share`` agree.
+fixes how an item lies along a document. A document is contaminated by an item if any run along such an alignment has
+``min_words`` words (all of the item's, if it has fewer) of which ``min_share`` agree, whatever surrounds the run. The
+longest such run is found by prefix sums in which words that agree and words that don't cancel at just that share; it
+is given without substituted words at its ends, as far as ``min_words`` allows.
 
 The test items are taken in blocks of at most ``block_chars`` characters; each block's index goes to all executors,
 so it is bounded, and documents pass it without a shuffle. More items make more blocks, not larger ones.
@@ -18,12 +19,13 @@ from __future__ import annotations
 
 import re
 from array import array
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import arrow_map, slices
+from tributary.llm.common import arrow_map, slices, starts
 
 _WORD = re.compile(r"\w+")
 MASKS = ("111111", "1101011001", "1110010101", "101110011", "11001001011")
@@ -53,7 +55,8 @@ class TestIndex:
     __test__ = False
 
     def __init__(self, items: list[tuple[int, str | None]], min_words: int = 13, min_share: float = 0.8, masks: tuple[str, ...] = MASKS):
-        self.min_words, self.min_share = min_words, min_share
+        self.min_words, share = min_words, Fraction(str(min_share))
+        self.gain, self.loss = share.denominator - share.numerator, share.numerator
         self.vocabulary: dict[str, int] = {}
         words = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in _WORD.findall((t or "").lower())] for _, t in items]
         self.item_ids = np.array([i for (i, _), w in zip(items, words, strict=True) if w], np.int64)
@@ -102,36 +105,47 @@ class TestIndex:
         if not len(pairs):
             return []
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for p in range(0, len(pairs), 100_000):
-            for key, run in self._runs(pairs[p : p + 100_000], ids, begin, size):
+        for p, q in slices(self.size[pairs[:, 0]].tolist(), 500_000):
+            for key, run in self._runs(pairs[p:q], ids, begin, size):
                 if key not in best or run[:2] > best[key][:2]:
                     best[key] = run
         return [(*key, *run) for key, run in sorted(best.items())]
 
     def _runs(self, pairs: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray):
-        """The best run along each alignment (item, place in ids of the item's first word)."""
+        """The longest run of enough agreement along each alignment (item, place in ids of the item's first word), for each document it passes."""
         item, zero = pairs[:, 0], pairs[:, 1]
-        # an alignment belongs to the document that holds its middle hit; a document's separator never agrees
-        longest = int(self.size[item].max())
-        score, length, agree, at = (np.zeros(len(item), np.int64) for _ in range(4))
-        top = [np.zeros(len(item), np.int64) for _ in range(4)]  # score, words, words that agree, place
-        for j in range(longest):
-            inside = (j < self.size[item]) & (zero + j >= 0) & (zero + j < len(ids))
-            here = ids[np.clip(zero + j, 0, len(ids) - 1)]
-            same = inside & (here == self.ids[np.minimum(self.start[item] + j, len(self.ids) - 1)]) & (here > 0)
-            out = ~inside | np.isin(zero + j, begin - 1)
-            fresh = score <= 0
-            at = np.where(fresh, zero + j, at)
-            length, agree = np.where(fresh, 0, length) + 1, np.where(fresh, 0, agree) + same
-            score = np.where(out, 0, np.maximum(0, np.where(fresh, 0, score) + np.where(same, 1, -1)))
-            better = (score > top[0]) & same
-            for t, v in zip(top, (score, length, agree, at), strict=True):
-                t[better] = v[better]
-        need = np.minimum(self.min_words, self.size[item])
-        good = np.flatnonzero((top[1] >= need) & (top[2] >= self.min_share * top[1]))
-        doc = np.searchsorted(begin, top[3][good], "right") - 1
-        for g, d in zip(good.tolist(), doc.tolist(), strict=True):
-            yield (d, int(self.item_ids[item[g]])), (int(top[1][g]), int(top[2][g]), int(top[3][g] - begin[d]))
+        separator = np.zeros(len(ids), bool)
+        separator[begin + size] = True
+        # one slot ahead of each alignment, then one for each word; that slot, or a separator, is where a document's part begins
+        low = np.maximum(0, -zero)
+        n = np.maximum(np.minimum(self.size[item], len(ids) - zero) - low, 0) + 1
+        ahead = starts(n)
+        owner = np.repeat(np.arange(len(n)), n)
+        j = np.arange(len(owner)) - ahead[owner] + low[owner] - 1
+        place = zero[owner] + j
+        lead = separator[np.maximum(place, 0)]
+        lead[ahead] = True
+        here = ids[np.maximum(place, 0)]
+        same = (here == self.ids[np.maximum(self.start[item][owner] + j, 0)]) & (here > 0) & ~lead
+        # a run has enough agreement if its scores sum to no less than 0: if no sum before it exceeds the one at its end
+        total = np.cumsum(np.where(lead, 0, np.where(same, self.gain, -self.loss)))
+        heads = np.flatnonzero(lead)
+        part = np.cumsum(lead) - 1
+        total -= total[heads][part]
+        key = part * (2 * max(self.gain, self.loss) * (int(n.max()) + 1)) - total
+        before = np.searchsorted(np.maximum.accumulate(key), key, "left")
+        length = np.arange(len(key)) - before
+        need = np.minimum(self.min_words, self.size[item])[owner[heads]]
+        ends = np.append(heads[1:], len(key))
+        for g in np.flatnonzero(np.maximum.reduceat(length, heads) >= need).tolist():
+            last = int(heads[g] + length[heads[g] : ends[g]].argmax())
+            first, least = int(before[last]) + 1, int(need[g])
+            while last - first + 1 > least and not same[last]:
+                last -= 1
+            while last - first + 1 > least and not same[first]:
+                first += 1
+            d = int(np.searchsorted(begin, place[first], "right")) - 1
+            yield (d, int(self.item_ids[item[owner[first]]])), (last - first + 1, int(same[first : last + 1].sum()), int(place[first] - begin[d]))
 
 
 def blocks(benchmark: DataFrame, block_chars: int, min_words: int, min_share: float):
