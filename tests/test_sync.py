@@ -203,6 +203,29 @@ def test_files(spark, tmp_path):
     assert "_last_modified_time" in r[0].asDict()
 
 
+def test_files_types_rest_on_all_rows(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    late = 10_500
+    (tmp_path / "s/a.csv").write_text("n,d\n" + "".join(f"{i},2024-01-01\n" for i in range(late)) + "text,never\n")
+    (tmp_path / "s/b.csv").write_text("n,d\nmore,2024-01-02\n")
+    src = FileSource(spark, {"path": str(tmp_path), "format": "csv"})
+    s = src.discover()[0]
+    assert (s.schema["n"], s.schema["d"]) == ("string", "string")
+    assert src.table(s).where("n in ('text', 'more') and d is not null").count() == 2 and src.table(s).where("n is null or d is null").count() == 0
+    # one file's types would be others; those of the stream hold for each chunk, and a file that comes later is looked at
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u/a.csv").write_text("n\n1\n")
+    src = FileSource(spark, {"path": str(tmp_path), "format": "csv"})
+    u = next(x for x in src.discover() if x.name == "u")
+    assert u.schema["n"] == "number"
+    (tmp_path / "u/b.csv").write_text("n\ntrue\n")
+    assert [sorted(r.n for r in src.read(u, [p]).collect()) for p in src._paths(u)] == [["1"], ["true"]]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j/a.jsonl").write_text('{"t": "2024-01-01T00:00:00Z"}\n' * late + '{"t": "soon"}\n')
+    src = FileSource(spark, {"path": str(tmp_path), "format": "json"})
+    assert src.table(src.discover()[0]).where("t = 'soon'").count() == 1
+
+
 def test_commands(spark, tmp_path, capsys):
     rows(spark, [(1, "a")]).write.parquet(str(tmp_path / "t.parquet"))
     (tmp_path / "c.json").write_text(json.dumps({"kind": "tables", "path": str(tmp_path), "tables": ["t"], "keys": {"t": ["k"]}}))

@@ -1,4 +1,4 @@
-"""Types of columns from their values, by one aggregate over all rows or a sample."""
+"""Types of columns from their values, by one aggregate over all rows."""
 
 from __future__ import annotations
 

@@ -38,7 +38,7 @@ class FileSource(Source):
             raise ValueError(f"an unknown format: {config['format']}")
         if config.get("compression", "gzip") not in ("gzip", "none", ""):
             raise ValueError("only gzip compression is read")
-        self._known: dict[str, T.StructType] = {}
+        self._known: dict[tuple[str, str], tuple[list, object]] = {}
 
     def files(self) -> list[tuple[str, str, int, int]]:
         """(stream, path, size, time of modification) of all matching files; contents aren't read."""
@@ -63,6 +63,13 @@ class FileSource(Source):
             out.append(s)
         return out
 
+    def _learned(self, stream: Stream, what: str, learn):
+        """learn(all paths of the stream), kept until its files change: what holds for a stream rests on all of its rows."""
+        now = [f for f in self.files() if f[0] == stream.name]
+        if self._known.get((stream.name, what), ((), None))[0] != now:
+            self._known[stream.name, what] = now, learn([f[1] for f in now])
+        return self._known[stream.name, what][1]
+
     def _paths(self, stream: Stream) -> list[str]:
         return [f[1] for f in self.files() if f[0] == stream.name]
 
@@ -101,29 +108,29 @@ class FileSource(Source):
         reader = self.spark.read.option("sep", c.get("delimiter", ",")).option("header", header).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
         if c.get("multi_line"):
             reader = reader.option("multiLine", True)
-        if stream.name not in self._known:
-            first = reader.csv(paths)
-            names = first.columns if header else [f"column_{i}" for i in range(len(first.columns))]
-            self._known[stream.name] = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = reader.schema(self._known[stream.name]).csv(paths)
-        types_key = f"{stream.name}:types"
-        if types_key not in self._known:
-            self._known[types_key] = csv_types(raw.limit(10_000), c.get("prefer_long", False)).head().asDict()
-        return self._typed(raw, stream.name, self._known[types_key])
+
+        def names(every: list[str]) -> T.StructType:
+            first = reader.csv(every)
+            return T.StructType([T.StructField(n if header else f"column_{i}", T.StringType()) for i, n in enumerate(first.columns)])
+
+        reader = reader.schema(self._learned(stream, "columns", names))
+        kinds = self._learned(stream, "types", lambda every: csv_types(reader.csv(every), c.get("prefer_long", False)).head().asDict())
+        return self._typed(reader.csv(paths), stream.name, kinds)
 
     def _json(self, stream: Stream, paths: list[str]) -> DataFrame:
         reader = self.spark.read.option("multiLine", self.config.get("multi_line", False)).option("mode", "PERMISSIVE")
-        if stream.name not in self._known:
-            found = reader.option("primitivesAsString", False).json(paths).schema
+
+        def columns(every: list[str]) -> T.StructType:
+            found = reader.option("primitivesAsString", False).json(every).schema
             number = lambda k: T.DoubleType() if isinstance(k, T.LongType) and not self.config.get("prefer_long") else k
-            self._known[stream.name] = T.StructType([T.StructField(f.name, number(f.dataType)) for f in found if f.name != "_corrupt_record"])
-        raw = reader.schema(self._known[stream.name]).json(paths)
-        kinds_key = f"{stream.name}:types"
-        if kinds_key not in self._known:
-            self._known[kinds_key] = observed_types(raw.limit(10_000))
+            return T.StructType([T.StructField(f.name, number(f.dataType)) for f in found if f.name != "_corrupt_record"])
+
+        schema = self._learned(stream, "columns", columns)
+        kinds = self._learned(stream, "types", lambda every: observed_types(reader.schema(schema).json(every)))
+        raw = reader.schema(schema).json(paths)
         out = []
         for f in raw.schema:
-            c, kind = F.col(f"`{f.name}`"), self._known[kinds_key][f.name]
+            c, kind = F.col(f"`{f.name}`"), kinds[f.name]
             out.append((coerce(c, f.dataType, kind) if kind.startswith("timestamp") else c).alias(f.name))
         return raw.select(*out, modified_column().alias(MODIFIED))
 
