@@ -226,6 +226,25 @@ def test_files_types_rest_on_all_rows(spark, tmp_path):
     assert src.table(src.discover()[0]).where("t = 'soon'").count() == 1
 
 
+def test_files_have_their_own_columns(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/a.csv").write_text("id,v\n1,x\n")
+    (tmp_path / "c/b.csv.gz").write_bytes(gzip.compress(b"v,id\ny,2\n"))
+    (tmp_path / "c/c.csv").write_text("id,v,new_col\n3,z,n\n")
+    src = FileSource(spark, {"path": str(tmp_path), "format": "csv"})
+    s = src.discover()[0]
+    assert set(s.schema) == {"id", "v", "new_col", "_last_modified_time"} and s.schema["id"] == "number"
+    assert sorted((r.id, r.v, r.new_col) for r in src.table(s).collect()) == [(1, "x", None), (2, "y", None), (3, "z", "n")]
+    assert src.read(s, src._paths(s)[:1]).where("new_col is null").count() == 1
+    for name, columns in (("a", "1L AS id"), ("b", "2L AS id, 'n' AS new_col")):
+        spark.sql(f"SELECT {columns}").coalesce(1).write.parquet(str(tmp_path / f"p/{name}"))
+    src = FileSource(spark, {"path": str(tmp_path), "format": "parquet"})
+    s = src.discover()[0]
+    assert sorted((r.id, r.new_col) for r in src.table(s).collect()) == [(1, None), (2, "n")] and s.schema["new_col"] == "string"
+    spark.sql("SELECT 'three' AS id, 3 AS other").coalesce(1).write.parquet(str(tmp_path / "p/c"))
+    assert sorted((r.id, r.new_col, r.other) for r in src.table(s).collect()) == [("1", None, None), ("2", "n", None), ("three", None, 3)]
+
+
 def test_commands(spark, tmp_path, capsys):
     rows(spark, [(1, "a")]).write.parquet(str(tmp_path / "t.parquet"))
     (tmp_path / "c.json").write_text(json.dumps({"kind": "tables", "path": str(tmp_path), "tables": ["t"], "keys": {"t": ["k"]}}))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,23 +101,58 @@ class FileSource(Source):
         raw = getattr(self, f"_{self.config['format']}")(stream, paths)
         return raw.select("*", modified_column().alias(MODIFIED)) if MODIFIED not in raw.columns else raw
 
-    def _typed(self, raw: DataFrame, key: str, kinds: dict[str, str]) -> DataFrame:
-        return raw.select(*[coerce(F.when((F.col(f"`{n}`") != "") & (F.lower(F.col(f"`{n}`")) != "null"), F.col(f"`{n}`")), T.StringType(), t).alias(n) for n, t in kinds.items()], modified_column().alias(MODIFIED))
+    def _typed(self, raw: DataFrame, kinds: dict[str, str]) -> DataFrame:
+        cell = lambda n: F.when((F.col(f"`{n}`") != "") & (F.lower(F.col(f"`{n}`")) != "null"), F.col(f"`{n}`")) if n in raw.columns else F.lit(None).cast("string")
+        return raw.select(*[coerce(cell(n), T.StringType(), t).alias(n) for n, t in kinds.items()], F.col(MODIFIED))
+
+    def _first_line(self, path: str) -> str:
+        """The first line of a plain or gzip file that isn't blank."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        stream = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+        try:
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(jvm.java.util.zip.GZIPInputStream(stream) if path.endswith(".gz") else stream, "UTF-8"))
+            while (line := lines.readLine()) is not None and not line.strip():
+                pass
+            return line or ""
+        finally:
+            stream.close()
 
     def _csv(self, stream: Stream, paths: list[str]) -> DataFrame:
+        """Each file by its own header (or its number of columns, if it has none); files come together by name."""
         c = self.config
         header = c.get("has_header", True)
-        reader = self.spark.read.option("sep", c.get("delimiter", ",")).option("header", header).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
-        if c.get("multi_line"):
-            reader = reader.option("multiLine", True)
 
-        def names(every: list[str]) -> T.StructType:
-            first = reader.csv(every)
-            return T.StructType([T.StructField(n if header else f"column_{i}", T.StringType()) for i, n in enumerate(first.columns)])
-
-        reader = reader.schema(self._learned(stream, "columns", names))
-        kinds = self._learned(stream, "types", lambda every: csv_types(reader.csv(every), c.get("prefer_long", False)).head().asDict())
-        return self._typed(reader.csv(paths), stream.name, kinds)
+        def reader():
+            out = self.spark.read.option("sep", c.get("delimiter", ",")).option("header", header).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
+            return out.option("multiLine", True) if c.get("multi_line") else out
+
+        def columns(every: list[str]) -> dict[str, tuple[str, ...]]:
+            """The columns of each file; files with the same first line are looked at once, unless a header can go on in the next line."""
+            alike: dict[str, list[str]] = {}
+            for path in every:
+                alike.setdefault(path if c.get("multi_line") else self._first_line(path), []).append(path)
+            out = {}
+            for group in alike.values():
+                first = reader().csv(group[0]).columns
+                out |= dict.fromkeys(group, tuple(n if header else f"column_{i}" for i, n in enumerate(first)))
+            return out
+
+        own = self._learned(stream, "columns", columns)
+
+        def together(some: list[str]) -> DataFrame:
+            groups: dict[tuple[str, ...], list[str]] = {}
+            for path in some:
+                groups.setdefault(own[path], []).append(path)
+            out = None
+            for names, group in groups.items():
+                schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+                part = reader().schema(schema).csv(group).select("*", modified_column().alias(MODIFIED))
+                out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+            return out
+
+        kinds = self._learned(stream, "types", lambda every: csv_types(together(every).drop(MODIFIED), c.get("prefer_long", False)).head().asDict())
+        return self._typed(together(paths), kinds)
 
     def _json(self, stream: Stream, paths: list[str]) -> DataFrame:
         reader = self.spark.read.option("multiLine", self.config.get("multi_line", False)).option("mode", "PERMISSIVE")
@@ -151,8 +188,27 @@ class FileSource(Source):
         return raw.select(*out)
 
     def _parquet(self, stream: Stream, paths: list[str]) -> DataFrame:
-        """Decimals land as doubles, dates as timestamps; bytes that aren't text as base64."""
+        """Decimals land as doubles, dates as timestamps; bytes that aren't text as base64. Columns are those of all files."""
+        from tributary.operators.evolve import union_by_name
         from tributary.operators.flatten import flatten
 
-        raw = self.spark.read.parquet(*paths)
-        return flatten(raw.select("*", modified_column().alias(MODIFIED)))
+        def columns(every: list[str]) -> list[tuple[T.StructType, set[str]]]:
+            """One schema for all files; where their types can't be merged, the files of each schema."""
+            try:
+                return [(self.spark.read.option("mergeSchema", True).parquet(*every).schema, set(every))]
+            except (PySparkException, Py4JJavaError) as e:
+                if "CANNOT_MERGE" not in str(e):
+                    raise
+            alike: dict[str, tuple[T.StructType, set[str]]] = {}
+            for path in every:
+                schema = self.spark.read.parquet(path).schema
+                alike.setdefault(schema.json(), (schema, set()))[1].add(path)
+            return list(alike.values())
+
+        out = None
+        for schema, own in self._learned(stream, "columns", columns):
+            group = [p for p in paths if p in own]
+            if group:
+                part = flatten(self.spark.read.schema(schema).parquet(*group).select("*", modified_column().alias(MODIFIED)))
+                out = part if out is None else union_by_name(out, part)
+        return out
