@@ -209,6 +209,20 @@ def test_pseudonyms():
     assert own.text("x 10.0.0.1 y")[1][0][3] == new["ip"]
 
 
+def test_pseudonyms_beside_other_numbers():
+    own = pii.Pseudonymizer(b"k")
+    card, iban = "4845168114407329", "ES91 2100 0418 4502 0005 1332"
+    alone = {v: own.text(v)[1][0][3] for v in (card, "4111 1111 1111 1111", iban)}
+    for text in (f"{card} 12/27", f"{card} 123", *(f"{card} {n:02d}" for n in range(100)), "4111 1111 1111 1111 123", "1234 4111 1111 1111 1111", f"{iban} BANK", f"{iban} 1234", f"{iban} IS"):
+        value = next(v for v in alone if v in text)
+        out, found = own.text(text)
+        assert out == text.replace(value, alone[value]) and len(found) == 1
+        assert pii.restore(out, b"k", found) == text
+    assert own.text("DE00 4111 1111 1111 1111")[0] == f"DE00 {alone['4111 1111 1111 1111']}"
+    row = "0 1 2 3 4 5 6 7 8 9 " * 40
+    assert len(own.text(row)[1]) <= 1
+
+
 def test_toxicity_learns_subwords():
     rng = random.Random(2)
     plain = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]

@@ -10,7 +10,8 @@ Kinds: ``card``, ``iban``, ``ssn``, ``phone``, ``ip``, ``date`` and ``email`` (t
 One date in several notations gets one pseudonym date. Numbers that fail validation are left alone.
 
 Cases: null texts stay null, empty ones empty; a text of any length is read whole; matches don't overlap, the leftmost
-counts and then the kind first in the list above; rows that repeat each get their own result.
+counts and then the kind first in the list above; a number that follows a card number or an IBAN isn't part of it; where
+a match isn't valid, the search goes on just after its first character; rows that repeat each get their own result.
 """
 
 from __future__ import annotations
@@ -38,9 +39,35 @@ _PATTERNS = (
 )
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS), re.ASCII)
 _MAYBE = re.compile(r"[0-9@]")
+#: Characters of an IBAN by country.
+_IBAN_SIZE = {
+    c: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG YE", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in names.split()
+}
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 
+def _candidates(kind: str, value: str, again: bool) -> list[str]:
+    """The values that a match may stand for, in order: what it swallowed after a card number or an IBAN is cut off at a boundary.
+
+    Of cards the shortest valid one counts; one that is cut, or begins within a match that failed (``again``), has no group
+    but the last of under three digits, so that rows of small numbers aren't read as cards. An IBAN's country has its length."""
+    if kind not in ("card", "iban"):
+        return [value]
+    cut = [value[: m.start()] for m in re.finditer("[ -]", value)]
+    if kind == "iban":
+        size = _IBAN_SIZE.get(value[:2])
+        return [v for v in cut if len(v.replace(" ", "")) == size or size is None] + [value]
+    alike = lambda v: all(len(g) >= 3 for g in re.split("[ -]", v)[:-1])
+    cut = [v for v in cut if sum(map(str.isdigit, v)) >= 13 and alike(v)]
+    return cut + ([value] if not again or alike(value) else [])
+
+
 class Feistel:
     """Keyed permutations of 0 .. n - 1: an alternating Feistel network over two factors that cover the domain, with cycle walking."""
 
@@ -185,19 +212,35 @@ class Pseudonymizer:
         """The text with its values replaced, and (kind, begin, end, pseudonym) in places of the input."""
         if not text or not _MAYBE.search(text):
             return text, []
-        found, parts, at = [], [], 0
-        for m in _FIND.finditer(text):
-            new = self.pseudonym(m.lastgroup, m[0])
-            if new is not None:
-                found.append((m.lastgroup, m.start(), m.end(), new))
-                parts += [text[at : m.start()], new]
-                at = m.end()
+        found, parts, at, start = [], [], 0, 0
+        failed = 0  # end of a match that failed: what begins before it is looked at anew
+        while m := _FIND.search(text, start):
+            for value in _candidates(m.lastgroup, m[0], m.start() < failed):
+                if (new := self.pseudonym(m.lastgroup, value)) is not None:
+                    end = m.start() + len(value)
+                    found.append((m.lastgroup, m.start(), end, new))
+                    parts += [text[at : m.start()], new]
+                    at = start = end
+                    break
+            else:
+                start, failed = m.start() + 1, max(failed, m.end())
         return ("".join(parts) + text[at:] if found else text), found
 
 
-def restore(text: str | None, key: bytes) -> str | None:
-    """The text from which a pseudonymised one was made (dates with one-digit days or months come back with two)."""
-    return Pseudonymizer(key, inverse=True).text(text)[0]
+def restore(text: str | None, key: bytes, entities: list[tuple[str, int, int, str]] | None = None) -> str | None:
+    """The text from which a pseudonymised one was made (dates with one-digit days or months come back with two).
+
+    Where numbers stand side by side, a pseudonym and its neighbour can look like another number: with the ``entities``
+    of the text, each value is taken from its very place."""
+    own = Pseudonymizer(key, inverse=True)
+    if text is None or entities is None:
+        return own.text(text)[0]
+    parts, at, shift = [], 0, 0
+    for kind, begin, end, new in entities:
+        parts += [text[at : begin + shift], own.pseudonym(kind, new)]
+        at = begin + shift + len(new)
+        shift += len(new) - (end - begin)
+    return "".join(parts) + text[at:]
 
 
 def pseudonymize(documents: DataFrame, key: str | bytes = b"tributary") -> DataFrame:
