@@ -51,6 +51,16 @@ def test_language_id(spark, documents, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_language_id_learns_every_language(spark):
+    """70 languages, each of letters of its own; the last has longer texts only."""
+    word = lambda k, i: "".join(chr(0x4E00 + 40 * k + (i * j) % 37) for j in (3, 5, 7))
+    rows = [(100 * k + i, " ".join(word(k, i + j) for j in range(6000 if k == 69 else 5)), f"l{k:02d}") for k in range(70) for i in range(6 if k > 60 else 8)]
+    assert all(len(t) > 20_000 for _, t, lang in rows if lang == "l69")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_language_id_held_out(spark):
     df = queries.QUERIES["op1_language_id"](spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")

@@ -8,8 +8,9 @@ possible are equally likely. Statistics are frozen after training, so a byte's e
 order + 1 last bytes. It is tabulated for each such string seen in training and computed by the same function for
 the rest. A text's language is the one with the shortest total code.
 
-Training uses a bounded sample: ``docs_per_lang`` whole documents of at most ``max_train_chars`` characters of each of
-the ``max_langs`` most frequent languages.
+Training uses a bounded sample of every language: ``docs_per_lang`` whole documents of at most ``max_train_chars``
+characters, and beginnings of that length where a language has few or no such documents. All languages share
+``train_bytes``, but each has ``least_bytes`` if it has as many.
 
 Cases: null text, empty text or text without letters gives ``und`` with score 0; ties go to the language that sorts
 first; a table without any labelled row gives ``und`` everywhere; rows that repeat each get their own result; a null
@@ -174,27 +175,58 @@ def fit(samples: dict[str, list[bytes]], order: int = 3) -> ContextTrees:
     return trees
 
 
-def train(documents: DataFrame, *, docs_per_lang: int = 300, max_train_chars: int = 20_000, max_langs: int = 64, order: int = 3, folds: int = 5) -> ContextTrees:
-    """Fit on a bounded sample of the documents whose crc32 remainder is not 0."""
+@dataclass
+class Forest:
+    """Context trees of groups of languages, in order. A language's code lengths don't depend on the others, but tables are as wide as a group."""
+
+    groups: list[ContextTrees]
+
+    @property
+    def langs(self) -> list[str]:
+        return [x for g in self.groups for x in g.langs]
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        return np.concatenate([g.score(texts) for g in self.groups], axis=1)
+
+
+def train(documents: DataFrame, *, docs_per_lang: int = 300, max_train_chars: int = 20_000, order: int = 3, folds: int = 5, train_bytes: int = 8_000_000, least_bytes: int = 4_000, group: int = 8) -> Forest:
+    """Fit on a bounded sample of the documents whose crc32 remainder is not 0; every language has its share."""
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", folds) != 0)).select("doc_id", "text", "lang")
-    sized = known.where(F.length("text").between(1, max_train_chars))
-    counts = {r[0]: r[1] for r in sized.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 2.0 * docs_per_lang / n)).otherwise(share)
+    size = F.length("text")
+    short = size <= max_train_chars
+    found = known.where(size >= 1).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("n_short"), F.sum(F.least(size, F.lit(max_train_chars))).alias("chars"), F.coalesce(F.sum(F.when(short, size)), F.lit(0)).alias("chars_short")).collect()
+    if not found:
+        return Forest([])
+    budget = max(least_bytes, train_bytes // len(found))
+    plan = []
+    for r in found:
+        # beginnings of longer texts are taken where the short ones don't make up a language
+        long = r.chars_short < min(budget, max_train_chars)
+        n, chars = (r.n, r.chars) if long else (r.n_short, r.chars_short)
+        plan.append((r.lang, long, min(1.0, 2.0 * docs_per_lang / n, max(2.0 * budget / chars, 16.0 / n))))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000))
-    rows = sized.withColumn("draw", drawn).where(F.col("draw") < share * 1_000_000).select("draw", "doc_id", "lang", "text").collect() if counts else []
+    wanted = F.broadcast(documents.sparkSession.createDataFrame(plan, "lang string, long boolean, share double"))
+    rest = known.where(size >= 1).join(wanted, "lang").where(F.col("long") | short).select(drawn.alias("draw"), "doc_id", "lang", F.substring("text", 1, max_train_chars).alias("text"), "share")
+    rows = rest.where(F.col("draw") < F.col("share") * 1_000_000).drop("share").collect()
+    missed = sorted({r.lang for r in found} - {r.lang for r in rows})
+    if missed:  # nothing was drawn of a language: its first document is
+        one = F.min(F.struct("draw", "doc_id", "lang", "text")).alias("one")
+        rows += [r.one for r in rest.join(F.broadcast(documents.sparkSession.createDataFrame([(x,) for x in missed], "lang string")), "lang").groupBy("lang").agg(one).collect()]
     samples: dict[str, list[bytes]] = {}
+    used: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (r.draw, r.doc_id, r.text)):
-        if len(samples.setdefault(r.lang, [])) < docs_per_lang:
+        if len(samples.setdefault(r.lang, [])) < docs_per_lang and used.get(r.lang, 0) < budget:
             samples[r.lang].append(utf8(r.text))
-    return fit(samples, order)
+            used[r.lang] = used.get(r.lang, 0) + len(samples[r.lang][-1])
+    langs = sorted(samples)
+    return Forest([fit({x: samples[x] for x in langs[i : i + group]}, order) for i in range(0, len(langs), group)])
 
 
-def predict(trees: ContextTrees, texts: list[str | None], slice_bytes: int = 4_000_000, evidence: int = 32) -> tuple[list[str], list[float]]:
+def predict(trees: ContextTrees | Forest, texts: list[str | None], slice_bytes: int = 4_000_000, evidence: int = 32) -> tuple[list[str], list[float]]:
     """Languages and scores: posterior probabilities, code lengths taken as those of at most ``evidence`` bytes."""
     langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if trees.langs else []
+    names = trees.langs
+    at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if names else []
     raw = [utf8(texts[i]) for i in at]
     for a, b in slices([len(x) for x in raw], slice_bytes):
         bits = trees.score(raw[a:b])
@@ -203,11 +235,11 @@ def predict(trees: ContextTrees, texts: list[str | None], slice_bytes: int = 4_0
         scaled = (bits - bits.min(axis=1, keepdims=True)) * np.minimum(1, evidence / size)[:, None]
         score = 1 / np.exp2(-np.minimum(scaled, 500)).sum(axis=1)
         for i, lang, s in zip(at[a:b], best, score, strict=True):
-            langs[i], scores[i] = trees.langs[lang], float(s)
+            langs[i], scores[i] = names[lang], float(s)
     return langs, scores
 
 
-def identify(documents: DataFrame, trees: ContextTrees | None = None, folds: int = 5) -> DataFrame:
+def identify(documents: DataFrame, trees: ContextTrees | Forest | None = None, folds: int = 5) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of documents."""
     spark = documents.sparkSession
     shipped = spark.sparkContext.broadcast(trees or train(documents, folds=folds))  # bounded by the sample
