@@ -10,6 +10,7 @@ from tributary import cli
 from tributary.catalog import Catalog, Configured
 from tributary.sinks.table import Conflict, Table
 from tributary.sources.files import FileSource
+from tributary.sources.messages import MessageSource
 from tributary.sources.tables import TableSource
 from tributary.state import State
 from tributary.sync import Sync
@@ -245,6 +246,17 @@ def test_files_have_their_own_columns(spark, tmp_path):
     assert sorted((r.id, r.new_col, r.other) for r in src.table(s).collect()) == [("1", None, None), ("2", "n", None), ("three", None, 3)]
 
 
+def test_messages_that_cannot_be_parsed_land(spark, tmp_path):
+    data = [("t", 0, i, AT, b"k", v) for i, v in enumerate((b'{"id": 1}', b"not json", b"\xff\xfe", None, b'{"id": 2}'))]
+    spark.createDataFrame(data, "topic string, partition int, offset long, timestamp timestamp, key binary, value binary").write.parquet(str(tmp_path / "m"))
+    src = MessageSource(spark, {"path": str(tmp_path / "m"), "topic": "t", "schema": "id bigint"})
+    s = src.discover()[0]
+    s.sync_mode = "strict_cdc"
+    Sync(spark, src, str(tmp_path / "out"), State(str(tmp_path / "state.json"))).run(Catalog([s], [Configured("t")]))
+    got = sorted(Table(spark, str(tmp_path / "out/t")).read().select("_kafka_offset", "id", "_corrupt_record").collect())
+    assert [tuple(r) for r in got] == [(0, 1, None), (1, None, "not json"), (2, None, "//4="), (4, 2, None)]
+
+
 def test_commands(spark, tmp_path, capsys):
     rows(spark, [(1, "a")]).write.parquet(str(tmp_path / "t.parquet"))
     (tmp_path / "c.json").write_text(json.dumps({"kind": "tables", "path": str(tmp_path), "tables": ["t"], "keys": {"t": ["k"]}}))

@@ -50,7 +50,11 @@ class MessageSource(Source):
         return [s]
 
     def table(self, stream: Stream) -> DataFrame:
-        return decode_json(self._messages(), self.config["schema"])[0]
+        """Rows, and messages that can't be parsed: those have their text in ``_corrupt_record`` and no other value."""
+        good, bad = decode_json(self._messages(), self.config["schema"])
+        own = {f"_kafka_{n}": F.col(n) for n in ("offset", "partition", "timestamp")} | {"_kafka_key": F.col("key").cast("string"), "_corrupt_record": F.col("value").cast("binary")}
+        bad = bad.select(*[c.alias(n) for n, c in own.items()]).withColumn("_corrupt_record", F.coalesce(F.try_validate_utf8(F.col("_corrupt_record").cast("string")), F.base64("_corrupt_record")))
+        return good.unionByName(bad, allowMissingColumns=True)
 
     def end_position(self, stream: Stream) -> dict:
         return {str(r[0]): r[1] for r in self._messages().groupBy("partition").agg(F.max("offset")).collect()}
