@@ -1,12 +1,16 @@
-"""Hashed word shingles of many texts at once, in numpy."""
+"""Hashed words and word shingles of many texts at once, in numpy."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xD6E8FEB86659FD93)
 _IS_WORD = None
+_SPACE = re.compile(r"\s")
 
 
 def is_word() -> np.ndarray:
@@ -23,8 +27,16 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts in order, and the number of words of each text."""
+def cut(text: str, most: int) -> Iterator[str]:
+    """Pieces of a text that begin at white space, of at least ``most`` characters but for the last."""
+    begin = 0
+    while len(text) - begin > most and (edge := _SPACE.search(text, begin + most)):
+        yield text[begin : edge.start()]
+        begin = edge.start()
+    yield text[begin:] if begin else text
+
+
+def _hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     lowered = [f"{t.lower()} " if t else " " for t in texts]
     sizes = np.array([len(t) for t in lowered], np.int64)
     chars = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -45,6 +57,34 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.diff(np.append(0, n))
 
 
+def word_hashes(texts: list[str | None], slice_chars: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts in order, and the number of words of each text.
+
+    Texts are taken in slices, long ones cut at white space, so what is held beside the hashes is bounded."""
+    words, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    part: list[str | None] = []
+    own: list[int] = []
+    size = 0
+
+    def done() -> None:
+        got, n = _hashes(part)
+        words.append(got)
+        np.add.at(counts, own, n)
+        part.clear(), own.clear()
+
+    for i, text in enumerate(texts):
+        for piece in cut(text, slice_chars) if text else ():
+            if part and size + len(piece) > slice_chars:
+                done()
+                size = 0
+            part.append(piece)
+            own.append(i)
+            size += len(piece)
+    if part:
+        done()
+    return np.concatenate(words), counts
+
+
 def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     """The sorted set of hashed shingles of each text. A text of fewer words has one shingle of all its words, one without words none."""
     words, counts = word_hashes(texts)
