@@ -1,186 +1,312 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a fixed mask over consecutive words: at its ones the words of a test item and of a document must be equal,
-at its zeros they may differ. Hashes of all seeds of the test items are joined with those of all documents. A hit
-fixes how an item lies along a document. A document is contaminated by an item if any run along such an alignment has
-``min_words`` words (all of the item's, if it has fewer) of which ``min_share`` agree, whatever surrounds the run. The
-longest such run is found by prefix sums in which words that agree and words that don't cancel at just that share; it
-is given without substituted words at its ends, as far as ``min_words`` allows.
-
-The test items are taken in blocks of at most ``block_chars`` characters; each block's index goes to all executors,
-so it is bounded, and documents pass it without a shuffle. More items make more blocks, not larger ones.
-
-Words are maximal runs of word characters in lower case. Cases: null and empty texts, documents or items without
-words, have no hits; items of fewer words than the shortest mask are compared where all their words occur in a row;
-items with equal texts each give their rows; rows that repeat in documents each give their rows.
+at its zeros they may differ. A document is contaminated by an item if any run along an alignment of the two has
+``min_words`` words (all of the item's, if it has fewer) of which ``min_share`` agree, whatever surrounds the run.
+
+1. Items with the same words are one text. Each text's seeds are a table of (hash, text, places).
+2. One pass over the documents hashes their words under the same masks. A sieve, a bit table of all seeds whose size is
+   bounded by ``sieve_bytes``, lets through those that may be seeds of an item; a document with none is done. More
+   seeds than the sieve has room for let through more, and lose nothing. A hash goes on once for each document, with
+   all its places.
+3. Documents' and items' seeds are joined on the hash. A hot hash is one row for each document that has it.
+4. Candidates are verified for each document, at most ``CELL`` texts at a time: the places of a common seed fix how
+   an item lies along the document; of each such alignment the longest run of enough agreement is found by prefix sums
+   in which words that agree and words that don't cancel at just the share. It is given without substituted words at
+   its ends, as far as ``min_words`` allows. Alignments are marked in a table of places, not listed by pairs, and
+   verified in slices, so that a word repeated over and over costs time but no memory.
+
+With the default of 13 words and a share of 0.8, every run has a common seed: the three masks meet every way to
+substitute a fifth of 13 to 30 words (tests count them). Where an item is shorter, or other limits are asked for, the
+seeds are runs as long as the substitutions allowed must leave one.
+
+Words are maximal runs of word characters in lower case, compared by 64-bit hashes. Cases: null and empty texts,
+documents or items without words, have no hits; null item ids are left out; items with equal words each give their
+rows, an item_id with several texts gives its best run; rows that repeat in documents each give their rows.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import arrow_map, slices, starts
+from tributary.llm.common import _arrow_schema, arrow_map, bounded_batches, drop_stage, row_key, sliced, stage, unused
+from tributary.llm.shingles import word_hashes
 
-_WORD = re.compile(r"\w+")
-MASKS = ("111111", "1101011001", "1110010101", "101110011", "11001001011")
+MASKS = ("1111011", "1110100011", "101001000111")
+#: Texts against which a document is verified at a time, and bytes of a part of the sieve.
+CELL, BLOCK = 256, 1 << 16
+_PLANES, _PLAIN = 8, (13, Fraction(4, 5))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.random.default_rng(613).integers(1 << 62, 1 << 63, _PLANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def masks_for(n_words: int, min_words: int, min_share: Fraction) -> tuple[str, ...]:
+    """Masks of which one at least fits any run of enough agreement with an item of n_words words."""
+    need = min(min_words, n_words)
+    if need >= _PLAIN[0] and min_share >= _PLAIN[1]:
+        return MASKS
+    # k substituted words leave a run of a k + 1st of the others
+    lost = lambda n: int(n * (1 - min_share))
+    return ("1" * max(1, min(-(-(n - lost(n)) // (lost(n) + 1)) for n in range(need, 20 * need + 1))),)
 
 
-def _keys(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places at which a mask fits with known words only, and the hash there."""
-    n = len(ids) - len(mask) + 1
+def seeds(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which a mask fits within a text (texts follow each other in words), and the hash there."""
+    n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    ones = [i for i, c in enumerate(mask) if c == "1"]
-    ok = np.ones(n, bool)
-    for i in ones:
-        ok &= ids[i : i + n] > 0
-    at = np.flatnonzero(ok)
-    h = np.zeros(len(at), np.uint64)
-    for i in ones:
-        h = (h + ids[at + i].astype(np.uint64)) * _MIX
-        h ^= h >> np.uint64(29)
-    return at, h
-
-
-class TestIndex:
-    """Seeds of one block of test items."""
-
-    __test__ = False
-
-    def __init__(self, items: list[tuple[int, str | None]], min_words: int = 13, min_share: float = 0.8, masks: tuple[str, ...] = MASKS):
-        self.min_words, share = min_words, Fraction(str(min_share))
-        self.gain, self.loss = share.denominator - share.numerator, share.numerator
-        self.vocabulary: dict[str, int] = {}
-        words = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in _WORD.findall((t or "").lower())] for _, t in items]
-        self.item_ids = np.array([i for (i, _), w in zip(items, words, strict=True) if w], np.int64)
-        words = [w for w in words if w]
-        self.size = np.array([len(w) for w in words], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.size + 1)])[:-1].astype(np.int64)
-        self.ids = np.array([x for w in words for x in (*w, 0)], np.int32)
-        owner = np.repeat(np.arange(len(words)), self.size + 1)
-        short = self.size < min((len(m) for m in masks), default=0)
-        self.seeds = []
-        for mask in (*masks, *sorted({"1" * int(n) for n in self.size[short]})):
-            at, h = _keys(self.ids, mask)
-            if mask not in masks:
-                own = short[owner[at]] & (self.size[owner[at]] == len(mask)) & (at == self.start[owner[at]])
-                at, h = at[own], h[own]
-            order = np.argsort(h, kind="stable")
-            self.seeds.append((mask, h[order], at[order], owner[at[order]]))
-
-    def find(self, texts: list[str | None], slice_chars: int = 2_000_000) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, words of the run, words that agree, word at which the run begins) of each contaminated text and item."""
-        out = []
-        if not len(self.size):
-            return out
-        for a, b in slices([len(t or "") for t in texts], slice_chars):
-            known, flat, size = self.vocabulary, array("i"), []
-            for t in texts[a:b]:
-                words = _WORD.findall(t.lower()) if t else ()
-                flat.extend([known[w] if w in known else 0 for w in words])
-                flat.append(0)
-                size.append(len(words))
-            out += [(a + i, *rest) for i, *rest in self._find(np.frombuffer(flat, np.int32), np.array(size, np.int64))]
+    h = np.full(n, int(mask, 2) + (len(mask) << 20), np.uint64)
+    for i, c in enumerate(mask):
+        if c == "1":
+            h = (h + words[i : i + n]) * _MIX
+            h ^= h >> np.uint64(29)
+    fits = np.zeros(len(words) + 1, np.int32)
+    room = sizes >= len(mask)
+    np.add.at(fits, starts[room], 1)
+    np.add.at(fits, (starts + sizes - len(mask) + 1)[room], -1)
+    at = np.flatnonzero(np.cumsum(fits)[:n] > 0)
+    return at, h[at]
+
+
+def _slots(h: np.ndarray, plane: int, bits: int) -> np.ndarray:
+    return (h * _FACTORS[plane]) >> np.uint64(64 - bits)
+
+
+class Sieve:
+    """A table of 2 ** bits bytes; bit i of a byte tells whether any seed has it as its i-th slot."""
+
+    def __init__(self, bits: int, table: np.ndarray | None = None):
+        self.bits, self.table = bits, np.zeros(1 << bits, np.uint8) if table is None else table
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        """Indexes of the hashes that may be seeds."""
+        at = np.arange(len(h))
+        for plane in range(_PLANES):
+            at = at[self.table[_slots(h[at], plane, self.bits)] >> np.uint8(plane) & np.uint8(1) > 0]
+        return at
+
+
+def _sieve(table: DataFrame, sieve_bytes: int) -> Sieve:
+    """Built in parts by tasks; the driver puts together at most sieve_bytes bytes."""
+    most = max(16, sieve_bytes.bit_length() - 1)
+    bits = min(most, max(16, (32 * table.count()).bit_length()))
+
+    def slots(cols: dict[str, list]) -> dict[str, list]:
+        h = np.array(cols["h"], np.int64).view(np.uint64)
+        at = np.concatenate([_slots(h, plane, bits) for plane in range(_PLANES)]).astype(np.int64)
+        return {"block": at // BLOCK, "at": at % BLOCK, "bit": np.repeat(1 << np.arange(_PLANES), len(h))}
+
+    marks = arrow_map(table.select("h"), slots, "block int, at int, bit int").groupBy("block", "at").agg(F.bit_or("bit").alias("bits"))
+    placed = marks.repartition("block").sortWithinPartitions("block")
+    target = _arrow_schema(table.sparkSession, "block int, part binary")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part = None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=target)
+        for batch in sliced(batches):
+            block, at, bit = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for b in np.unique(block).tolist():
+                if b != now:
+                    if now is not None:
+                        yield done()
+                    now, part = b, np.zeros(BLOCK, np.uint8)
+                own = block == b
+                part[at[own]] = bit[own]
+        if now is not None:
+            yield done()
+
+    sieve = Sieve(bits)
+    for row in placed.mapInArrow(blocks, "block int, part binary").toLocalIterator():
+        sieve.table[row[0] * BLOCK : (row[0] + 1) * BLOCK] = np.frombuffer(row[1], np.uint8)
+    return sieve
+
+
+def longest_runs(doc: np.ndarray, items: list[np.ndarray], places: list[list[tuple]], min_words: int, min_share: Fraction, most: int = 500_000) -> list[tuple[int, int, int, int]]:
+    """(item, words of the run, words that agree, word of doc at which it begins), the longest run for each item that has one.
+
+    places[i]: (places in doc, places in item) of each seed that doc and item i share."""
+    item, zero = [], []
+    for i, pairs in enumerate(places):
+        # where the item's first word would lie; marked, so a word that repeats in both makes no list of pairs
+        size = len(items[i])
+        mark = np.zeros(len(doc) + size, bool)
+        for here, there in pairs:
+            here, there = np.asarray(here, np.int64) + size, np.asarray(there, np.int64)
+            few, many = (there, here) if len(there) <= len(here) else (here, there)
+            for x in few.tolist():
+                mark[many - x if few is there else x - many] = True
+        z = np.flatnonzero(mark) - size
+        item.append(np.full(len(z), i))
+        zero.append(z)
+    item, zero = np.concatenate(item), np.concatenate(zero)
+    sizes = np.array([len(x) for x in items], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    flat = np.concatenate(items)
+    best: dict[int, tuple[int, int, int]] = {}
+    ends = np.cumsum(sizes[item])
+    cuts = [0]
+    while cuts[-1] < len(item):
+        done = ends[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, done + most, "right"))))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        for i, run in _runs(doc, flat, starts, sizes, item[a:b], zero[a:b], min_words, min_share):
+            if i not in best or (run[0], run[1], -run[2]) > (best[i][0], best[i][1], -best[i][2]):
+                best[i] = run
+    return [(i, *run) for i, run in sorted(best.items())]
+
+
+def _runs(doc, flat, starts, sizes, item, zero, min_words: int, min_share: Fraction) -> Iterator[tuple[int, tuple[int, int, int]]]:
+    """The longest run of enough agreement along each alignment."""
+    gain, loss = min_share.denominator - min_share.numerator, min_share.numerator
+    low = np.maximum(0, -zero)
+    n = np.minimum(sizes[item], len(doc) - zero) - low
+    item, zero, low, n = item[n > 0], zero[n > 0], low[n > 0], n[n > 0]
+    if not len(item):
+        return
+    heads = np.cumsum(n + 1) - (n + 1)  # one slot ahead of each alignment, then one for each word
+    own = np.repeat(np.arange(len(n)), n + 1)
+    j = np.arange(len(own)) - heads[own] + low[own] - 1
+    lead = np.zeros(len(own), bool)
+    lead[heads] = True
+    same = (doc[np.maximum(zero[own] + j, 0)] == flat[starts[item][own] + np.maximum(j, 0)]) & ~lead
+    total = np.cumsum(np.where(lead, 0, np.where(same, gain, -loss)))
+    total -= total[heads][own]
+    # a run has enough agreement if no sum before it exceeds the one at its end: the first such place, by running maxima
+    key = own * (2 * max(gain, loss) * (int(n.max()) + 1)) - total
+    before = np.searchsorted(np.maximum.accumulate(key), key, "left")
+    length = np.arange(len(key)) - before
+    need = np.minimum(min_words, sizes[item])
+    for g in np.flatnonzero(np.maximum.reduceat(length, heads) >= need).tolist():
+        last = int(heads[g] + length[heads[g] : heads[g] + n[g] + 1].argmax())
+        first, least = int(before[last]) + 1, int(need[g])
+        while last - first + 1 > least and not same[last]:
+            last -= 1
+        while last - first + 1 > least and not same[first]:
+            first += 1
+        yield int(item[g]), (last - first + 1, int(same[first : last + 1].sum()), int(zero[g] + j[first]))
+
+
+def _words(column: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column]
+
+
+def _texts(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """t, words, n of the different texts of the items; t, item_id; and the tables staged."""
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+    def each(cols: dict[str, list]) -> dict[str, list]:
+        words, counts = word_hashes(cols["text"])
+        ends = np.cumsum(counts).tolist()
+        return {"item_id": cols["item_id"], "words": [words[e - n : e].tobytes() for e, n in zip(ends, counts.tolist(), strict=True)], "n": counts}
+
+    items, items_at = stage(arrow_map(rows, each, "item_id long, words binary, n int").where("n > 0").distinct(), "items")
+    texts, texts_at = stage(items.select("words", "n").distinct().select(F.monotonically_increasing_id().alias("t"), "words", "n"), "item-texts")
+    names, names_at = stage(items.join(texts, ["words", "n"]).select("t", "item_id"), "item-names")
+    drop_stage(benchmark.sparkSession, items_at)
+    return texts, names, [texts_at, names_at]
+
+
+def _seed_table(texts: DataFrame, min_words: int, min_share: Fraction) -> DataFrame:
+    """h, t, places: each different seed of each text."""
+
+    def each(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"h": [], "t": [], "places": []}
+        for t, words in zip(cols["t"], _words(cols["words"]), strict=True):
+            for mask in masks_for(len(words), min_words, min_share):
+                at, h = seeds(words, np.zeros(1, np.int64), np.array([len(words)]), mask)
+                kinds, of = np.unique(h, return_inverse=True)
+                parts = np.split(at[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(kinds)))[:-1]) if len(kinds) else []
+                out["h"] += kinds.view(np.int64).tolist()
+                out["t"] += [t] * len(kinds)
+                out["places"] += [p.astype(np.int32) for p in parts]
         return out
 
-    def _find(self, ids: np.ndarray, size: np.ndarray) -> list[tuple]:
-        begin = np.concatenate([[0], np.cumsum(size + 1)])[:-1].astype(np.int64)
-        found = []
-        for mask, hashes, places, owners in self.seeds:
-            at, h = _keys(ids, mask)
-            left = np.searchsorted(hashes, h, "left")
-            n = np.searchsorted(hashes, h, "right") - left
-            hit = n > 0
-            at, left, n = at[hit], left[hit], n[hit]
-            k = np.repeat(left - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum()))
-            found.append(np.stack([owners[k], np.repeat(at, n) - places[k] + self.start[owners[k]]], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        if not len(pairs):
-            return []
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for p, q in slices(self.size[pairs[:, 0]].tolist(), 500_000):
-            for key, run in self._runs(pairs[p:q], ids, begin, size):
-                if key not in best or run[:2] > best[key][:2]:
-                    best[key] = run
-        return [(*key, *run) for key, run in sorted(best.items())]
-
-    def _runs(self, pairs: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray):
-        """The longest run of enough agreement along each alignment (item, place in ids of the item's first word), for each document it passes."""
-        item, zero = pairs[:, 0], pairs[:, 1]
-        separator = np.zeros(len(ids), bool)
-        separator[begin + size] = True
-        # one slot ahead of each alignment, then one for each word; that slot, or a separator, is where a document's part begins
-        low = np.maximum(0, -zero)
-        n = np.maximum(np.minimum(self.size[item], len(ids) - zero) - low, 0) + 1
-        ahead = starts(n)
-        owner = np.repeat(np.arange(len(n)), n)
-        j = np.arange(len(owner)) - ahead[owner] + low[owner] - 1
-        place = zero[owner] + j
-        lead = separator[np.maximum(place, 0)]
-        lead[ahead] = True
-        here = ids[np.maximum(place, 0)]
-        same = (here == self.ids[np.maximum(self.start[item][owner] + j, 0)]) & (here > 0) & ~lead
-        # a run has enough agreement if its scores sum to no less than 0: if no sum before it exceeds the one at its end
-        total = np.cumsum(np.where(lead, 0, np.where(same, self.gain, -self.loss)))
-        heads = np.flatnonzero(lead)
-        part = np.cumsum(lead) - 1
-        total -= total[heads][part]
-        key = part * (2 * max(self.gain, self.loss) * (int(n.max()) + 1)) - total
-        before = np.searchsorted(np.maximum.accumulate(key), key, "left")
-        length = np.arange(len(key)) - before
-        need = np.minimum(self.min_words, self.size[item])[owner[heads]]
-        ends = np.append(heads[1:], len(key))
-        for g in np.flatnonzero(np.maximum.reduceat(length, heads) >= need).tolist():
-            last = int(heads[g] + length[heads[g] : ends[g]].argmax())
-            first, least = int(before[last]) + 1, int(need[g])
-            while last - first + 1 > least and not same[last]:
-                last -= 1
-            while last - first + 1 > least and not same[first]:
-                first += 1
-            d = int(np.searchsorted(begin, place[first], "right")) - 1
-            yield (d, int(self.item_ids[item[owner[first]]])), (last - first + 1, int(same[first : last + 1].sum()), int(place[first] - begin[d]))
-
-
-def blocks(benchmark: DataFrame, block_chars: int, min_words: int, min_share: float):
-    """Indexes of all test items, a bounded block at a time, broadcast."""
-    spark = benchmark.sparkSession
-    total = benchmark.agg(F.sum(F.length("text"))).head()[0] or 0
-    n = max(1, -(-int(total) // block_chars))
-    for k in range(n):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else benchmark
-        rows = sorted((r.item_id, r.text) for r in part.where("item_id is not null and text is not null").select("item_id", "text").collect())
-        yield spark.sparkContext.broadcast(TestIndex(rows, min_words, min_share))
-
-
-def contaminated(documents: DataFrame, benchmark: DataFrame, *, block_chars: int = 8_000_000, min_words: int = 13, min_share: float = 0.8) -> DataFrame:
-    """doc_id, item_id, n_words, n_agree, first_word for each document and test item that it overlaps."""
-    out = None
-    for index in blocks(benchmark, block_chars, min_words, min_share):
+    return arrow_map(texts.select("t", "words"), each, "h long, t long, places array<int>")
+
+
+def _suspects(documents: DataFrame, sieve: Sieve, masks: list[str]) -> DataFrame:
+    """d, k, words, hits (hash, places) of the documents that have any seed that passes the sieve."""
+    shipped = documents.sparkSession.sparkContext.broadcast(sieve)  # of at most sieve_bytes bytes
+    bounded_batches(documents.sparkSession)
+    schema = "d long, k long, words binary, hits array<struct<h: long, places: array<int>>>"
+    target = _arrow_schema(documents.sparkSession, schema)
+    rows = documents.where("text <> ''").select(F.col("doc_id").cast("long").alias("d"), row_key().alias("k"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shipped.value
+        for batch in sliced(batches):
+            words, counts = word_hashes(batch.column(2).to_pylist())
+            starts = np.cumsum(counts) - counts
+            place, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for mask in masks:
+                at, h = seeds(words, starts, counts, mask)
+                on = own.passes(h)
+                place.append(at[on])
+                found.append(h[on])
+            place, found = np.concatenate(place), np.concatenate(found)
+            if not len(place):
+                continue
+            doc = np.searchsorted(starts, place, "right") - 1
+            order = np.lexsort((place, found, doc))
+            doc, found, place = doc[order], found[order], (place - starts[doc])[order]
+            fresh = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])))
+            docs, first = np.unique(doc[fresh], return_index=True)
+            places = pa.ListArray.from_arrays(pa.array(np.append(fresh, len(place)).astype(np.int32)), pa.array(place.astype(np.int32)))
+            hits = pa.StructArray.from_arrays([pa.array(found[fresh].view(np.int64)), places], names=["h", "places"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(fresh)).astype(np.int32)), hits)
+            data = pa.array([words[starts[i] : starts[i] + counts[i]].tobytes() for i in docs.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), batch.column(1).take(pa.array(docs)), data, lists.cast(target.field(3).type)], schema=target)
 
-        def each(cols: dict[str, list], index=index) -> dict[str, list]:
-            hits = index.value.find(cols["text"])
-            ids = cols["doc_id"]
-            return {"doc_id": [ids[h[0]] for h in hits], **{k: [h[i] for h in hits] for i, k in enumerate(("item_id", "n_words", "n_agree", "first_word"), 1)}}
+    return rows.mapInArrow(run, schema)
 
-        part = arrow_map(documents.select("doc_id", "text"), each, "doc_id long, item_id long, n_words int, n_agree int, first_word int")
-        out = part if out is None else out.unionByName(part)
-    return out
 
+def _found(documents: DataFrame, benchmark: DataFrame, min_words: int, min_share: float, sieve_bytes: int) -> tuple[DataFrame, str]:
+    """u (row), d, k, item_id, n_words, n_agree, first_word; and where it is staged."""
+    spark, share = documents.sparkSession, Fraction(str(min_share))
+    texts, names, used = _texts(benchmark)
+    table, table_at = stage(_seed_table(texts, min_words, share), "seeds")
+    sizes = [r[0] for r in texts.select(F.least("n", F.lit(min_words)).alias("n")).distinct().collect()]  # min_words values at most
+    masks = sorted({m for n in sizes for m in masks_for(n, min_words, share)})
+    suspects, suspects_at = stage(_suspects(documents, _sieve(table, sieve_bytes), masks).select(F.monotonically_increasing_id().alias("u"), "d", "k", "words", "hits"), "suspects")
+    hits = suspects.select("u", F.explode("hits").alias("x")).select("u", F.col("x.h").alias("h"), F.col("x.places").alias("here"))
+    pairs = hits.join(table, "h").groupBy("u", "t").agg(F.collect_list(F.struct("here", F.col("places").alias("there"))).alias("places"))
+    pairs, pairs_at = stage(pairs, "candidates")
+    cells = pairs.groupBy("u").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+    spread = pairs.join(cells, "u").join(texts, "t").select("u", F.pmod(F.xxhash64("t"), "cells").alias("cell"), F.struct("t", F.col("words").alias("item"), "places").alias("c"))
+    full = spread.groupBy("u", "cell").agg(F.collect_list("c").alias("c")).join(suspects.select("u", "d", "k", "words"), "u")
 
-def clean(documents: DataFrame, benchmark: DataFrame, *, block_chars: int = 8_000_000, min_words: int = 13, min_share: float = 0.8) -> DataFrame:
-    """The documents that overlap no test item, with all their columns."""
-    for index in blocks(benchmark, block_chars, min_words, min_share):
+    def verify(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in ("u", "d", "k", "t", "n_words", "n_agree", "first_word")}
+        for u, d, k, words, cell in zip(cols["u"], cols["d"], cols["k"], _words(cols["words"]), cols["c"], strict=True):
+            places = [[(p["here"], p["there"]) for p in c["places"]] for c in cell]
+            for i, *run in longest_runs(words, _words([c["item"] for c in cell]), places, min_words, share):
+                for n, v in zip(out, (u, d, k, cell[i]["t"], *run), strict=True):
+                    out[n].append(v)
+        return out
+
+    runs = arrow_map(full, verify, "u long, d long, k long, t long, n_words int, n_agree int, first_word int")
+    best = F.max(F.struct("n_words", "n_agree", (-F.col("first_word")).alias("later"))).alias("b")
+    rows = runs.join(names, "t").groupBy("u", "d", "k", "item_id").agg(best)
+    found, path = stage(rows.select("u", "d", "k", "item_id", F.col("b.n_words").alias("n_words"), F.col("b.n_agree").alias("n_agree"), (-F.col("b.later")).alias("first_word")), "contaminated")
+    drop_stage(spark, *used, table_at, suspects_at, pairs_at)
+    return found, path
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, *, min_words: int = 13, min_share: float = 0.8, sieve_bytes: int = 1 << 24) -> DataFrame:
+    """doc_id, item_id, n_words, n_agree, first_word for each document and test item that it overlaps."""
+    found, _ = _found(documents, benchmark, min_words, min_share, sieve_bytes)
+    return found.select(F.col("d").alias("doc_id"), "item_id", "n_words", "n_agree", "first_word")
 
-        def each(cols: dict[str, list], index=index) -> dict[str, list]:
-            bad = {h[0] for h in index.value.find(cols["text"])}
-            return {k: [x for i, x in enumerate(v) if i not in bad] for k, v in cols.items()}
 
-        documents = arrow_map(documents, each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema))
-    return documents
+def clean(documents: DataFrame, benchmark: DataFrame, *, min_words: int = 13, min_share: float = 0.8, sieve_bytes: int = 1 << 24) -> DataFrame:
+    """The documents that overlap no test item, with all their columns. Keys of the others are broadcast if Spark finds them small, else joined."""
+    found, _ = _found(documents, benchmark, min_words, min_share, sieve_bytes)
+    d, k = unused(documents.columns, "d", "k")
+    bad = found.select(F.col("d").alias(d), F.col("k").alias(k)).distinct()
+    return documents.join(bad, (row_key() == F.col(k)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d)), "left_anti")
