@@ -1,98 +1,162 @@
 """Removal of repeated runs of lines, by a suffix array over line ids; DataFrame expressions only.
 
-A document is its sequence of lines without blank ones, white space at their ends cut off. Suffixes of all documents
-are grouped by distributed prefix doubling: the rank of a suffix at level k is the place (document, line) of the first
-suffix that begins with the same 2^k lines, the head of its group; the pair of ranks of a line and of the line 2^k
-further on is the key of the next level. A suffix alone in its group has no equal beyond and drops out, so each level
-has fewer rows, and the loop ends when none are left. The groups of level k are the intervals of the suffix array
-whose common prefix is at least 2^k lines; a suffix that isn't its group's head begins a later copy.
-
-A later copy is deleted if it has at least two lines, or is one line of at least ``min_chars`` characters. As each run
-of two or more lines is the union of its runs of two, every line of a maximal repeated run goes; the first copy stays.
+A document is its sequence of lines without blank ones, white space at their ends cut off; a place is a document and a
+line's number in that sequence, a suffix begins at each place.
+
+1. Ranks, by distributed prefix doubling. At level k, suffixes that begin with the same 2^k lines have one rank, and
+   ranks are in the order of the suffix array: the pair of the ranks of a place and of the place 2^k lines on is the
+   key of the next level, and keys that occur twice are sorted by range and numbered. A suffix that is alone with its
+   key has no equal beyond and drops out, so each level has fewer rows; the loop ends when none are left. The ranks of
+   a level are the intervals of the suffix array whose longest common prefix is at least 2^k lines.
+2. Intervals of other lengths, by halving. A prefix of L lines, 2^k < L < 2^(k+1), has as key the ranks at level k of
+   its first and of its last 2^k lines. For each place that has an earlier equal at level k, lengths are tried bit by
+   bit, from the largest: all suffixes of the place's interval are keyed at the length in question, and the length
+   stands if one of equal key begins earlier. What remains is the longest prefix that occurs at an earlier place: the
+   depth of the innermost interval in which the suffix isn't the first, hence a later copy that is maximal to the right.
+3. A later copy is deleted if it has at least ``min_lines`` lines, or is a line of at least ``min_chars`` characters.
+   The first copy of each run stays.
 
 Rank tables are small beside the text, are written to the shared folder at each level and joined, never collected; hot
-lines are one row after map-side aggregation, and the joins that bring heads back are ones that Spark can split.
+lines are one row after map-side aggregation, and the joins that bring ranks back are ones that Spark can split.
 
 Cases: null texts stay null and have no lines; an empty text has none; documents are ordered by doc_id, null first,
 then by text hash; rows that repeat doc_id and text are one document, so each of them keeps the same lines; ids of
-lines are two hashes (96 bits) with the length.
+lines are two hashes (96 bits) with the length; columns of any name pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import drop_stage, row_key, stage
+from tributary.llm.common import drop_stage, row_key, stage, unused
 
 _PLACE = ("d", "k", "p")
+NAMES = ("n_lines", "n_removed", "longest_run")
+
+
+def _document() -> list:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), row_key()]
+
+
+def _numbered(lines):
+    """The lines that aren't blank, trimmed, with their numbers among all."""
+    cut = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.trim(x).alias("t")))
+    return F.filter(cut, lambda x: x["t"] != "")
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """d, k: document; p: place among its lines that aren't blank; line, next: index of it and of the next among all."""
-    cut = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.trim(x).alias("t")))
-    kept = F.filter(cut, lambda x: x["t"] != "")
-    pairs = F.zip_with(kept, F.slice(kept, 2, F.greatest(F.size(kept), F.lit(0))), lambda x, y: F.struct(x["line"].alias("line"), y["line"].alias("next"), x["t"].alias("t")))
-    rows = documents.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), row_key().alias("k"), pairs.alias("lines"))
-    x = lambda c: F.col(f"x.{c}")
-    return rows.select("d", "k", F.posexplode("lines").alias("p", "x")).select("d", "k", "p", x("line"), x("next"), F.xxhash64(x("t")).alias("h"), F.hash(x("t")).alias("g"), F.length(x("t")).alias("size"))
+    """d, k: document; p: number among its lines that aren't blank; h, g, size: the line's id."""
+    d, k = _document()
+    rows = documents.select(d.alias("d"), k.alias("k"), F.posexplode(F.transform(_numbered(F.split("text", "\n")), lambda x: x["t"])).alias("p", "t"))
+    return rows.select(*_PLACE, F.xxhash64("t").alias("h"), F.hash("t").alias("g"), F.length("t").alias("size"))
 
 
-def _grouped(rows: DataFrame, key: list[str], name: str, out: tuple[str, str, str]) -> tuple[DataFrame, str]:
-    """The head of each key with more than one row."""
-    heads = rows.groupBy(*key).agg(F.min(F.struct(*_PLACE)).alias("head"), F.max(F.struct(*_PLACE)).alias("last"))
-    return stage(heads.where("head <> last").select(*key, *[F.col(f"head.{c}").alias(o) for c, o in zip(_PLACE, out, strict=True)]), name)
+def _ranked(rows: DataFrame, key: list[str]) -> tuple[DataFrame, str]:
+    """r (rank, in the keys' order), first (place) and n of each key that more than one place has."""
+    place = F.struct(*_PLACE)
+    kinds = rows.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last")
+    return stage(kinds.select(*key, "first", "n").repartitionByRange(*key).sortWithinPartitions(*key).select(*key, F.monotonically_increasing_id().alias("r"), "first", "n"), "line-ranks")
 
 
-def repeated(documents: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Suffixes (d, k, p, line, next, size) that begin like another one, by level, with their group's head (hd, hk, hp)."""
+def ranks(documents: DataFrame) -> tuple[list[DataFrame], list[str]]:
+    """By level: the places whose next 2^level lines occur elsewhere, with size of the first line, r, n, and whether an earlier one is equal."""
     spark = documents.sparkSession
-    lines = _lines(documents)
-    heads, path = _grouped(lines, ["h", "g", "size"], "line-heads", ("hd", "hk", "hp"))
-    level, paths, out, span = 0, [], None, 1
-    current, kept = stage(lines.join(heads, ["h", "g", "size"]).select(*_PLACE, "line", "next", "size", "hd", "hk", "hp").dropDuplicates(list(_PLACE)), "line-ranks")
-    drop_stage(spark, path)
-    paths.append(kept)
-    while not current.isEmpty():
-        part = current.withColumns({"level": F.lit(level), "run": F.lit(span)})
-        out = part if out is None else out.unionByName(part)
-        ahead = current.select("d", "k", (F.col("p") - span).alias("p"), F.col("hd").alias("nd"), F.col("hk").alias("nk"), F.col("hp").alias("np"))
-        pairs, pairs_at = stage(current.join(ahead, list(_PLACE)), "line-pairs")
-        key = ["hd", "hk", "hp", "nd", "nk", "np"]
-        heads, heads_at = _grouped(pairs, key, "line-heads", ("rd", "rk", "rp"))
-        current, kept = stage(pairs.join(heads, key).select(*_PLACE, "line", "next", "size", F.col("rd").alias("hd"), F.col("rk").alias("hk"), F.col("rp").alias("hp")), "line-ranks")
-        drop_stage(spark, pairs_at, heads_at)
-        paths.append(kept)
-        level, span = level + 1, 2 * span
-    if out is None:
-        out = current.withColumns({"level": F.lit(0), "run": F.lit(1)})
-    return out, paths
-
-
-def deletions(documents: DataFrame, min_chars: int = 40) -> DataFrame:
-    """d, k, gone (indexes of the lines to delete), longest (lines of the longest later copy found, a power of two)."""
-    found, _ = repeated(documents)
-    later = found.where(F.struct("hd", "hk", "hp") < F.struct(*_PLACE))
-    first = F.when((F.col("level") == 1) | (F.col("size") >= min_chars), F.col("line"))
-    second = F.when(F.col("level") == 1, F.col("next"))
-    marked = later.select("d", "k", "level", "run", F.filter(F.array(first, second), lambda x: x.isNotNull()).alias("at"))
-    return marked.groupBy("d", "k").agg(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("level") < 2, F.col("at"))))).alias("gone"), F.max("run").alias("longest"))
-
-
-def deduplicate(documents: DataFrame, min_chars: int = 40) -> DataFrame:
-    """The columns of documents, text without later copies, with n_lines, n_removed and longest_run."""
-    marks = deletions(documents, min_chars).select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("gone").alias("__gone"), F.col("longest").alias("__longest"))
-    rows = documents.withColumn("__d", F.coalesce(F.col("doc_id"), F.lit(-(2**63)))).withColumn("__k", row_key())
-    joined = rows.join(marks, ["__d", "__k"], "left")
-    lines = F.split("text", "\n")
-    full = F.filter(lines, lambda x: F.trim(x) != "")
-    gone = F.coalesce(F.col("__gone"), F.array().cast("array<int>"))
-    # all indexes and those to delete, sorted: an index that comes twice is deleted. Time is linear but for the sort.
-    both = F.array_sort(F.concat(F.sequence(F.lit(0), F.size(lines) - 1), gone))
+    rows, rows_at = stage(_lines(documents), "lines")
+    key, out, paths = ["h", "g", "size"], [], []
+    while True:
+        kinds, kinds_at = _ranked(rows, key)
+        current = rows.join(kinds, key).select(*_PLACE, "size", "r", "n", (F.struct(*_PLACE) > F.col("first")).alias("later"))
+        level, level_at = stage(current if out else current.dropDuplicates(list(_PLACE)), "line-level")
+        drop_stage(spark, rows_at, kinds_at)
+        out.append(level)
+        paths.append(level_at)
+        if level.isEmpty():
+            return out, paths
+        ahead = level.select("d", "k", (F.col("p") - (1 << len(out) - 1)).alias("p"), F.col("r").alias("r2"))
+        rows, rows_at = stage(level.select(*_PLACE, "size", F.col("r").alias("r1")).join(ahead, list(_PLACE)), "line-pairs")
+        key = ["r1", "r2"]
+
+
+def later_runs(documents: DataFrame) -> tuple[DataFrame, str]:
+    """d, k, p, size, lines, copies: for each place, the longest run from it that an earlier place begins too, its lines and how often it occurs."""
+    spark = documents.sparkSession
+    levels, paths = ranks(documents)
+    every = None
+    for i, level in enumerate(levels):
+        level = level.withColumn("level", F.lit(i))
+        every = level if every is None else every.unionByName(level)
+    # the deepest level at which an earlier place is equal
+    top = every.where("later").groupBy(*_PLACE).agg(F.max(F.struct("level", "r", "n", "size")).alias("x"))
+    run = F.expr("shiftleft(1, x.level)").alias("lines")
+    state, state_at = stage(top.select(*_PLACE, "x.level", "x.r", "x.size", run, F.col("x.n").alias("copies")), "line-runs")
+    members = every.select("level", *_PLACE, "r")
+    for bit in reversed(range(max(0, len(levels) - 2))):
+        off = F.col("lines") + (1 << bit) - F.expr("shiftleft(1, level)")
+        asked = state.where(F.col("level") > bit).select("level", "r", off.alias("off")).distinct()
+        ahead = members.select("level", "d", "k", F.col("p").alias("at"), F.col("r").alias("r2"))
+        keyed = members.where(F.col("level") > bit).join(asked, ["level", "r"]).withColumn("at", F.col("p") + F.col("off")).join(ahead, ["level", "d", "k", "at"])
+        keyed, keyed_at = stage(keyed.select("level", "r", "off", "r2", *_PLACE), "line-keys")
+        firsts = keyed.groupBy("level", "r", "off", "r2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
+        longer = keyed.join(firsts, ["level", "r", "off", "r2"]).where(F.struct(*_PLACE) > F.col("first")).select("level", *_PLACE, "off", "n")
+        joined = state.withColumn("off", F.when(F.col("level") > bit, off)).join(longer, ["level", *_PLACE, "off"], "left")
+        lines = F.col("lines") + F.when(F.col("n").isNotNull(), 1 << bit).otherwise(0)
+        fresh, fresh_at = stage(joined.select(*_PLACE, "level", "r", "size", lines.alias("lines"), F.coalesce("n", "copies").alias("copies")), "line-runs")
+        drop_stage(spark, keyed_at, state_at)
+        state, state_at = fresh, fresh_at
+    drop_stage(spark, *paths)
+    return state.select(*_PLACE, "size", "lines", "copies"), state_at
+
+
+def _earlier(documents_runs: DataFrame) -> DataFrame:
+    """Runs with the line after the last of the runs that begin before them in the document, and the length of the run one line before."""
+    of_document = Window.partitionBy("d", "k").orderBy("p")
+    end = F.max(F.col("p") + F.col("lines")).over(of_document.rowsBetween(Window.unboundedPreceding, -1))
+    left = F.when(F.lag("p").over(of_document) == F.col("p") - 1, F.lag("lines").over(of_document))
+    return documents_runs.withColumns({"end": F.coalesce(end, F.lit(0)), "left": F.coalesce(left, F.lit(0))})
+
+
+def maximal_runs(documents: DataFrame) -> DataFrame:
+    """d, k, p, lines, copies of the later copies that no longer one holds: the run from the line before isn't this one with that line."""
+    runs, _ = later_runs(documents)
+    return _earlier(runs).where(F.col("left") != F.col("lines") + 1).select(*_PLACE, "lines", "copies")
+
+
+def deletions(documents: DataFrame, min_chars: int = 40, min_lines: int = 2) -> DataFrame:
+    """d, k, gone (places to delete, each once), longest (lines of the longest later copy)."""
+    runs, _ = later_runs(documents)
+    long = (F.col("lines") >= min_lines) | (F.col("size") >= min_chars)
+    # a long line that begins a run too short for deletion goes alone
+    some = _earlier(runs.where(long).withColumn("lines", F.when(F.col("lines") >= min_lines, F.col("lines")).otherwise(1)))
+    first, last = F.greatest("p", "end"), F.col("p") + F.col("lines") - 1
+    parts = some.select("d", "k", F.when(first <= last, F.sequence(first, last)).alias("part"), F.lit(0).alias("lines"))
+    longest = runs.groupBy("d", "k").agg(F.max("lines").alias("lines")).select("d", "k", F.lit(None).cast("array<int>").alias("part"), "lines")
+    return parts.unionByName(longest).groupBy("d", "k").agg(F.flatten(F.collect_list("part")).alias("gone"), F.max("lines").alias("longest"))
+
+
+def _taken_out(values, gone):
+    """The elements of values with whether their numbers are in gone (which has each once), in time that is linear but for a sort.
+
+    All numbers and those in gone are sorted together: a number that comes twice is in gone."""
+    both = F.array_sort(F.concat(F.sequence(F.lit(0), F.size(values) - 1), gone))
     twice = F.zip_with(both, F.slice(both, 2, F.size(both)), lambda x, y: F.struct(x.alias("i"), F.coalesce(x == y, F.lit(False)).alias("out")))
     firsts = F.filter(F.zip_with(twice, F.concat(F.array(F.lit(-1)), both), lambda x, y: F.struct(x["i"].alias("i"), x["out"].alias("out"), y.alias("before"))), lambda x: x["i"] != x["before"])
-    marked = F.zip_with(lines, firsts, lambda x, y: F.struct(x.alias("t"), y["out"].alias("out")))
-    kept = F.transform(F.filter(marked, lambda x: ~x["out"]), lambda x: x["t"])
+    return F.zip_with(values, firsts, lambda x, y: F.struct(x.alias("x"), y["out"].alias("out")))
+
+
+def deduplicate(documents: DataFrame, min_chars: int = 40, min_lines: int = 2, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """The columns of documents, text without later copies, with the numbers of its lines, of those removed, and of the lines of its longest later copy.
+
+    A column of documents that has one of these three names gives way to them; give other names to keep it."""
+    d, k, gone_at, longest_at = unused([*documents.columns, *names], "d", "k", "gone", "longest")
+    marks = deletions(documents, min_chars, min_lines).withColumnsRenamed({"d": d, "k": k, "gone": gone_at, "longest": longest_at})
+    own_d, own_k = _document()
+    joined = documents.withColumns({d: own_d, k: own_k}).join(marks, [d, k], "left")
+    lines, gone = F.split("text", "\n"), F.coalesce(F.col(gone_at), F.array().cast("array<int>"))
+    full = F.transform(_numbered(lines), lambda x: x["line"])
+    out = F.transform(F.filter(_taken_out(full, gone), lambda x: x["out"]), lambda x: x["x"])
+    kept = F.transform(F.filter(_taken_out(lines, out), lambda x: ~x["out"]), lambda x: x["x"])
     text = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    counted = joined.withColumn("n_lines", F.coalesce(F.size(full), F.lit(0))).withColumn("n_removed", F.size(gone)).withColumn("longest_run", F.coalesce(F.col("__longest"), F.lit(0)))
-    return counted.withColumn("text", text).select(*documents.columns, "n_lines", "n_removed", "longest_run")
+    counts = dict(zip(names, (F.coalesce(F.size(full), F.lit(0)), F.size(gone), F.coalesce(F.col(longest_at), F.lit(0))), strict=True))
+    rest = [c for c in documents.columns if c.lower() not in {n.lower() for n in names}]
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in rest], *[v.alias(n) for n, v in counts.items()])
