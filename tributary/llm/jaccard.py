@@ -8,9 +8,11 @@
    two blocks at most, whatever the size of a group. In a cell, the MinHash values of pairs are compared some at a
    time; after each, pairs are dropped whose posterior probability of a similarity of at least the threshold, given
    the agreements so far and a uniform prior, is below ``tolerance``. A pair is handled in the first band that it
-   shares alone. The pairs left are verified exactly on their shingle sets, by products of incidence matrices.
-4. A cell gives, for each class, its number of links there and one edge to the smallest class it is connected with, so
-   a group of k similar texts makes on the order of k rows for each cell, not k * k.
+   shares alone. This first pass carries MinHash values only.
+4. Texts are joined for the classes that have a pair left in a cell, and these pairs are verified exactly on their
+   shingle sets, by products of incidence matrices. A cell gives, for each class, its number of links there and one
+   edge to the smallest class it is connected with, so a group of k similar texts makes on the order of k rows for
+   each cell, not k * k.
 
 Cases: null and empty texts and texts without words have no links and are classes of their own; texts of one to four
 words have one shingle; equal sets are always linked; other columns are kept out; rows that repeat doc_id and text are
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import _arrow_schema, arrow_map, bounded_batches, drop_stage, row_key, slices, stage
+from tributary.llm.common import _arrow_schema, arrow_map, bounded_batches, drop_stage, row_key, since, sliced, slices, stage, staged, unused
 from tributary.llm.components import components
 from tributary.llm.shingles import finish, shingle_sets
 
@@ -111,12 +113,15 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _links(cell: dict[str, list], threshold: float, least: dict[int, int], width: int) -> list[tuple[int, int, int]]:
-    """(class, links, smallest connected class) of a cell's classes that have links there."""
+def _pruned(cell: dict[str, list], least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     sig = np.frombuffer(b"".join(cell["sig"]), np.uint16).reshape(-1, _VALUES)
-    cross = cell["i"][0] != cell["j"][0]
     side = (np.array(cell["own"]) != cell["i"][0]).astype(int)
-    i, j = _candidates(sig, side, cross, cell["band"][0], least)
+    return _candidates(sig, side, cell["i"][0] != cell["j"][0], cell["band"][0], least)
+
+
+def _links(cell: dict[str, list], threshold: float, least: dict[int, int], width: int) -> list[tuple[int, int, int]]:
+    """(class, links, smallest connected class) of a cell's classes that have links there."""
+    i, j = _pruned(cell, least)
     if not len(i):
         return []
     used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
@@ -139,38 +144,43 @@ def _links(cell: dict[str, list], threshold: float, least: dict[int, int], width
     return [(int(ids[k]), int(links[k]), int(label[k])) for k in np.flatnonzero(links)]
 
 
-def _joined(cells: DataFrame, threshold: float, tolerance: float, width: int) -> DataFrame:
-    """Links of all cells. Rows of a cell follow each other in a partition, so one cell at a time is held."""
-    bounded_batches(cells.sparkSession)
-    least = least_matches(threshold, tolerance)
-    schema = "c long, links long, label long"
-    target = _arrow_schema(cells.sparkSession, schema)
-    names = cells.columns
+def _left(cell: dict[str, list], least: dict[int, int]) -> list[tuple]:
+    """The rows, without their values, of a cell's classes that have a pair left after pruning."""
+    i, j = _pruned(cell, least)
+    return [(cell["cell"][k], cell["i"][k], cell["j"][k], cell["band"][k], cell["own"][k], cell["c"][k]) for k in np.unique(np.concatenate([i, j])).tolist()]
+
+
+def _by_cell(rows: DataFrame, each, schema: str) -> DataFrame:
+    """each(columns of one cell) -> rows, for all cells of two or more rows. A cell's rows follow each other in a partition, so one cell at a time is held."""
+    placed = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    bounded_batches(rows.sparkSession)
+    target = _arrow_schema(rows.sparkSession, schema)
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: dict[str, list] = {n: [] for n in names}
         key, found = None, []
 
         def out():
-            done = pa.RecordBatch.from_arrays([pa.array([r[x] for r in found], pa.int64()) for x in range(3)], schema=target)
+            done = pa.RecordBatch.from_arrays([pa.array([r[x] for r in found], f.type) for x, f in enumerate(target)], schema=target)
             found.clear()
             return done
 
-        for batch in batches:
+        for batch in sliced(batches):
             for row in zip(*[batch.column(x).to_pylist() for x in range(len(names))], strict=True):
                 if (now := row[:3]) != key:
                     if key is not None and len(cell["c"]) > 1:
-                        found += _links(cell, threshold, least, width)
+                        found += each(cell)
                     key, cell = now, {n: [] for n in names}
                 for n, v in zip(names, row, strict=True):
                     cell[n].append(v)
             if len(found) > 50_000:
                 yield out()
         if key is not None and len(cell["c"]) > 1:
-            found += _links(cell, threshold, least, width)
+            found += each(cell)
         yield out()
 
-    return cells.mapInArrow(run, schema)
+    return placed.mapInArrow(run, schema)
 
 
 def classes(documents: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-6, width: int = 5, block: int = BLOCK) -> DataFrame:
@@ -179,25 +189,23 @@ def classes(documents: DataFrame, *, threshold: float = 0.8, tolerance: float =
     class_id: the smallest doc_id of the documents that links connect with this one; copy_of: the smallest doc_id of
     the documents with the same shingle set; n_links: other documents at a similarity of at least the threshold.
     """
-    return classify(documents, threshold=threshold, tolerance=tolerance, width=width, block=block).drop("k")
+    return classify(documents, threshold=threshold, tolerance=tolerance, width=width, block=block).drop("k", "class_k")
 
 
 def classify(documents: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-6, width: int = 5, block: int = BLOCK) -> DataFrame:
-    """As classes, with k, the key of the row (see row_key)."""
+    """As classes, with k, the key of the row (see row_key), and class_k, the least key of the class's documents of that class_id."""
     spark = documents.sparkSession
-    plain = documents.select("doc_id", row_key().alias("k"), "text")
+    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), "text")
 
     def each(cols: dict[str, list]) -> dict[str, list]:
-        sets = []
-        for a, b in slices([len(t or "") for t in cols["text"]], 1_000_000):
-            sets += shingle_sets(cols["text"][a:b], width)
+        sets = shingle_sets(cols["text"], width)
         sums = [(int(finish(s).sum(dtype=np.uint64)), int(finish(s ^ np.uint64(0x5555)).sum(dtype=np.uint64))) for s in sets]
         signed = lambda v: v - (1 << 64) if v >> 63 else v
         return {"doc_id": cols["doc_id"], "k": cols["k"], "n": [len(s) for s in sets], "s1": [signed(a) for a, _ in sums], "s2": [signed(b) for _, b in sums], "sig": [x.tobytes() for x in signatures(sets)]}
 
     rows, rows_at = stage(arrow_map(plain, each, "doc_id long, k long, n int, s1 long, s2 long, sig binary"), "minhash")
     key = ["s1", "s2", "n"]
-    grouped = rows.where("n > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "k")).alias("rep"), F.count("*").alias("size"), F.first("sig").alias("sig"))
+    grouped = rows.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("rep"), F.count("*").alias("size"), F.first("sig").alias("sig"))
     sets, sets_at = stage(grouped.select(F.monotonically_increasing_id().alias("c"), *key, F.col("rep.doc_id").alias("rep"), F.col("rep.k").alias("rep_k"), "size", "sig"), "classes")
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda x: F.struct(x.alias("band"), F.xxhash64(x, F.substring("sig", x * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("key")))
@@ -207,29 +215,37 @@ def classify(documents: DataFrame, *, threshold: float = 0.8, tolerance: float =
     buckets, buckets_at = stage(first.select(F.col("b.band").alias("band"), F.col("b.key").alias("key"), "members"), "buckets")
     members, members_at = stage(met.join(buckets, ["band", "key"]).select("band", "key", "c", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "members")
 
-    needed = sets.join(members.select("c").distinct(), "c", "left_semi").select("c", F.col("rep").alias("doc_id"), F.col("rep_k").alias("k"), "size", "sig")
-    texts = plain.join(needed, (plain.k == needed.k) & plain.doc_id.eqNullSafe(needed.doc_id)).select(needed.c, needed.size, needed.sig, plain.text).dropDuplicates(["c"])
     own = F.pmod(F.xxhash64("c", "key"), F.col("blocks")).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = spread.select("band", "key", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = cells.join(texts, "c").select(F.xxhash64("band", "key").alias("cell"), "i", "j", "band", "own", "c", "size", "sig", "text")
-    placed = full.repartition(F.col("cell"), F.col("i"), F.col("j")).sortWithinPartitions("cell", "i", "j")
-    links, links_at = stage(_joined(placed, threshold, tolerance, width), "links")
-    drop_stage(spark, buckets_at, members_at)
+    cells = spread.select(F.xxhash64("band", "key").alias("cell"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "c")
+    least = least_matches(threshold, tolerance)
+    values = sets.select("c", "sig")
+    left, left_at = stage(_by_cell(cells.join(values, "c").select(*cells.columns, "sig"), lambda cell: _left(cell, least), "cell long, i int, j int, band int, own int, c long"), "candidates")
+
+    needed = sets.join(left.select("c").distinct(), "c", "left_semi").select("c", F.col("rep").alias("doc_id"), F.col("rep_k").alias("k"), "size", "sig")
+    texts = plain.join(needed, (plain.k == needed.k) & plain.doc_id.eqNullSafe(needed.doc_id)).select(needed.c, needed.size, needed.sig, plain.text).dropDuplicates(["c"])
+    full = left.join(texts, "c").select(*left.columns, "size", "sig", "text")
+    links, links_at = stage(_by_cell(full, lambda cell: _links(cell, threshold, least, width), "c long, links long, label long"), "links")
+    drop_stage(spark, buckets_at, members_at, left_at)
 
     total = links.groupBy("c").agg(F.sum("links").alias("links"))
+    mark = staged()
     labels = components(links, "c", "label").select(F.col("node").alias("c"), "label")
-    known, known_at = stage(sets.select("c", *key, "rep", "size").join(total, "c", "left").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")), "known")
-    least = known.groupBy("label").agg(F.min("rep").alias("class_id"))
-    final, _ = stage(known.join(least, "label").select(*key, "class_id", F.col("rep").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "class-ids")
-    drop_stage(spark, sets_at, links_at, known_at)
+    labels_at = since(mark)
+    known, known_at = stage(sets.select("c", *key, "rep", "rep_k", "size").join(total, "c", "left").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")), "known")
+    firsts = known.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_k")).alias("first"))
+    final, _ = stage(known.join(firsts, "label").select(*key, F.col("first.rep").alias("class_id"), F.col("first.rep_k").alias("class_k"), F.col("rep").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "class-ids")
+    drop_stage(spark, sets_at, links_at, known_at, *labels_at)
     done = rows.select("doc_id", "k", *key).join(final, key, "left")
-    alone = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c)
-    return done.select("doc_id", "k", alone("class_id"), alone("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    alone = lambda c, other: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col(other)).alias(c)
+    return done.select("doc_id", "k", alone("class_id", "doc_id"), alone("class_k", "k"), alone("copy_of", "doc_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """The rows of documents but for those of a class whose class_id is another document's; a repeated row stays once."""
-    found = classify(documents, **options).where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__d"), F.col("k").alias("__k")).distinct()
-    rows = documents.withColumn("__key", row_key())
-    return rows.join(found, (rows["__key"] == found["__k"]) & rows["doc_id"].eqNullSafe(found["__d"]), "left_semi").drop("__key")
+    """One row of each class: the document with the smallest doc_id, of several with that id the one with the least key, of rows that repeat both one."""
+    d, k, n = unused(documents.columns, "d", "k", "n")
+    first = F.col("class_id").eqNullSafe(F.col("doc_id")) & (F.col("class_k") == F.col("k"))
+    found = classify(documents, **options).where(first).groupBy("doc_id", "k").agg(F.count("*").alias(n)).withColumnsRenamed({"doc_id": d, "k": k})
+    rows = documents.join(found, (row_key() == F.col(k)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d)))
+    once, several = rows.where(F.col(n) == 1), rows.where(F.col(n) > 1).dropDuplicates([d, k])
+    return once.unionByName(several).select(*[F.col(f"`{c}`") for c in documents.columns])
