@@ -26,7 +26,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from tributary.llm.common import arrow_map
+from tributary.llm.common import with_columns
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -172,40 +172,39 @@ def encoder(path: str, pattern: str | None = None) -> BytePairEncoder:
     return BytePairEncoder.from_file(path, pattern)
 
 
-def encode_documents(documents: DataFrame, path: str | None = None, *, keep: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids (array), decoded (binary) for each row; with ``keep``, after the columns of documents."""
+def encode_documents(documents: DataFrame, path: str | None = None, *, keep: bool = False, names: tuple[str, str, str] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """doc_id, n_tokens, ids (array), decoded (binary) for each row; with ``keep``, the columns of documents and these (columns of their names give way)."""
     path = path or vocabulary_path()
 
-    def each(cols: dict[str, list]) -> dict[str, list]:
+    def each(texts: list[str | None]) -> dict[str, list]:
         own = encoder(path)
-        ids = [own.encode(t) for t in cols["text"]]
+        ids = [own.encode(t) for t in texts]
         lists = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
-        return cols | {"n_tokens": [len(x) for x in lists], "ids": lists, "decoded": [own.decode(x) for x in ids]}
+        return dict(zip(names, ([len(x) for x in lists], lists, [own.decode(x) for x in ids]), strict=True))
 
-    rows = documents if keep else documents.select("doc_id", "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    out = arrow_map(rows, each, f"{schema}, n_tokens long, ids array<int>, decoded binary")
-    return out if keep else out.drop("text")
+    n_tokens, ids, decoded = names
+    return _added(documents, each, f"`{n_tokens}` long, `{ids}` array<int>, `{decoded}` binary", keep)
 
 
-def digests(documents: DataFrame, path: str | None = None, *, keep: bool = False) -> DataFrame:
+def digests(documents: DataFrame, path: str | None = None, *, keep: bool = False, names: tuple[str, str, str] = ("n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: as encode_documents, hashed in the worker so that no ids leave it."""
     path = path or vocabulary_path()
 
-    def each(cols: dict[str, list]) -> dict[str, list]:
+    def each(texts: list[str | None]) -> dict[str, list]:
         own = encoder(path)
-        out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for text in cols["text"]:
+        out: dict[str, list] = {n: [] for n in names}
+        for text in texts:
             ids = own.encode(text)
-            out["n_tokens"].append(len(ids) // 4)
-            out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(own.decode(ids)).hexdigest())
-        return cols | out
-
-    rows = documents if keep else documents.select("doc_id", "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    out = arrow_map(rows, each, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out if keep else out.drop("text")
+            values = len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+            for n, v in zip(names, values, strict=True):
+                out[n].append(v)
+        return out
+
+    return _added(documents, each, ", ".join(f"`{n}` {t}" for n, t in zip(names, ("long", "string", "string"), strict=True)), keep)
+
+
+def _added(documents: DataFrame, each, schema: str, keep: bool) -> DataFrame:
+    return with_columns(documents, "text", each, schema) if keep else with_columns(documents.select("doc_id", "text"), "text", each, schema).drop("text")
 
 
 __all__ = ["BytePairEncoder", "digests", "encode_documents", "encoder", "vocabulary_path"]

@@ -243,8 +243,12 @@ def restore(text: str | None, key: bytes, entities: list[tuple[str, int, int, st
     return "".join(parts) + text[at:]
 
 
-def pseudonymize(documents: DataFrame, key: str | bytes = b"tributary") -> DataFrame:
-    """doc_id, text (replaced), n_found, entities (kind, begin, end, pseudonym) for each row of documents."""
+def pseudonymize(documents: DataFrame, key: str | bytes) -> DataFrame:
+    """doc_id, text (replaced), n_found, entities (kind, begin, end, pseudonym) for each row of documents.
+
+    Who has the key can undo the pseudonyms: it has no default, and belongs in a store of secrets."""
+    if not key:
+        raise ValueError("a key is needed")
     secret = key.encode() if isinstance(key, str) else key
     memo: dict[bytes, Pseudonymizer] = {}
 
