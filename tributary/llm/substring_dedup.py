@@ -12,9 +12,11 @@ another. Work is split so that equal strings meet in bounded groups, and each gr
 3. Contexts with the same anchor are a collection that is aligned on it: equal strings start in the same column. The
    collection is sorted column-wise: in each round one symbol of every context, from right to left, is read from a
    sequential file and inserted; a stable counting sort by symbol turns the order of the suffixes of one column into
-   that of the next; the Burrows-Wheeler column and the common prefixes of neighbours, updated by range minima, are
-   appended to another file. A last sequential pass over it marks the suffixes that share ``LENGTH`` bytes with a
-   neighbour. Files are anonymous scratch of the task and vanish with it; nothing outlives a task but its rows.
+   that of the next. That order and the common prefixes of neighbours, updated by range minima, are appended to
+   another file; the Burrows-Wheeler column, the symbols in the old order, is what the sort consumes and isn't kept, as
+   suffixes of different columns never meet. A last sequential pass over the file marks the suffixes that share
+   ``LENGTH`` bytes with a neighbour. Files lie in the shared folder under names of their own task attempt, which
+   deletes them; the folder goes when the ranges are written.
 4. Where an anchor has over ``GROUP`` different contexts, each context is cut into two halves of its strings, and the
    bytes that all strings of a half have in common are a longer anchor. Halves that differ there fall apart into
    groups of their own; this repeats until groups are small or the context is one string. So no task holds more than
@@ -27,15 +29,17 @@ of equal text repeat each other; rows that repeat doc_id and text do too; very l
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import _arrow_schema, arrow_map, bounded_batches, drop_stage, row_key, slices, stage, utf8
+from tributary.llm.common import _arrow_schema, arrow_map, bounded_batches, drop_stage, row_key, sliced, slices, stage, stage_path, utf8
 from tributary.llm.shingles import finish
 
 LENGTH, ANCHOR, GROUP = 200, 88, 256
@@ -90,7 +94,51 @@ def anchors(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> t
     return count, h[at].view(np.int64), at - owner_start[at], high - at, context.view(np.int64)
 
 
-def column_sort(contexts: list[bytes], left: np.ndarray, before: int, length: int = LENGTH) -> np.ndarray:
+class Scratch:
+    """Sequential files in a folder that all executors share."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+
+    @contextmanager
+    def files(self, n: int) -> Iterator[list[SequentialFile]]:
+        """Some new files, deleted when the task attempt is done with them. Those of a lost executor go with the folder."""
+        fs, folder = pafs.FileSystem.from_uri(self.uri if "://" in self.uri or self.uri.startswith("/") else self.uri.replace(":", "://", 1))
+        fs.create_dir(folder)
+        made = [SequentialFile(fs, f"{folder}/{uuid.uuid4().hex}") for _ in range(n)]
+        try:
+            yield made
+        finally:
+            for f in made:
+                f.delete()
+
+
+class SequentialFile:
+    """Written from begin to end, then read likewise."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str):
+        self.fs, self.path, self.out, self.source = fs, path, None, None
+
+    def write(self, data: bytes) -> None:
+        if self.out is None:
+            self.out = self.fs.open_output_stream(self.path, buffer_size=1 << 20)
+        self.out.write(data)
+
+    def read(self, size: int) -> bytes:
+        if self.source is None:
+            self.out.close()
+            self.source = self.fs.open_input_stream(self.path, buffer_size=1 << 20)
+        return self.source.read(size)
+
+    def delete(self) -> None:
+        for f in (self.out, self.source):
+            if f is not None:
+                f.close()
+        if self.out is not None:
+            self.fs.delete_file(self.path)
+
+
+def column_sort(contexts: list[bytes], left: np.ndarray, before: int, scratch: Scratch, length: int = LENGTH) -> np.ndarray:
     """repeated[i, c]: whether the string of ``length`` bytes that starts in column c of context i starts there in another one.
 
     left[i]: the column of context i's first byte. Columns 0 .. before are starts of strings.
@@ -102,10 +150,9 @@ def column_sort(contexts: list[bytes], left: np.ndarray, before: int, length: in
     row = np.repeat(np.arange(m), size)
     symbols[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(left, size), row] = flat
     right = left + size  # the column after the last byte
-    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as rounds:
+    with scratch.files(2) as (columns, rounds):
         columns.write(symbols[::-1].tobytes())
         del symbols
-        columns.seek(0)
         order, lcp = np.zeros(0, np.int64), np.zeros(0, np.int16)  # contexts by suffix; lcp[i]: with the one before
         written = []
         for c in range(width - 1, -1, -1):
@@ -123,12 +170,10 @@ def column_sort(contexts: list[bytes], left: np.ndarray, before: int, length: in
             new = np.argsort(s, kind="stable")
             order, lcp = order[new], _prefixes(lcp, new, s[new])
             if c <= before:
-                rounds.write(s.tobytes() + order.astype(np.int32).tobytes() + lcp.tobytes())
+                rounds.write(order.astype(np.int32).tobytes() + lcp.tobytes())
                 written.append((c, len(order)))
-        rounds.seek(0)
         repeated = np.zeros((m, before + 1), bool)
         for c, n in written:
-            rounds.read(n)
             order = np.frombuffer(rounds.read(4 * n), np.int32)
             long = np.frombuffer(rounds.read(2 * n), np.int16) >= length
             repeated[order[long], c] = True
@@ -155,9 +200,9 @@ def _prefixes(lcp: np.ndarray, new: np.ndarray, symbol: np.ndarray) -> np.ndarra
     return out
 
 
-def _sorted_groups(items: DataFrame, chunk: int = 8192) -> DataFrame:
+def _sorted_groups(items: DataFrame, scratch: Scratch, chunk: int = 8192) -> DataFrame:
     """d, k, a, b: byte ranges of repeated strings of contexts with one copy. Rows of a group follow each other; whole groups are taken together up to ``chunk`` contexts."""
-    bounded_batches(items.sparkSession, 2048)
+    bounded_batches(items.sparkSession)
     schema = "d long, k long, a long, b long"
     target = _arrow_schema(items.sparkSession, schema)
     names = items.columns
@@ -166,7 +211,7 @@ def _sorted_groups(items: DataFrame, chunk: int = 8192) -> DataFrame:
         col = {n: [r[i] for r in rows] for i, n in enumerate(names)}
         before = LENGTH - ANCHOR
         p, off = np.array(col["p"], np.int64), np.array(col["off"], np.int64)
-        repeated = column_sort(col["ctx"], before - off, before)
+        repeated = column_sort(col["ctx"], before - off, before, scratch)
         own = np.array(col["w"]) == 1
         starts_ = repeated & own[:, None]
         edge = np.diff(np.pad(starts_, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -177,7 +222,7 @@ def _sorted_groups(items: DataFrame, chunk: int = 8192) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for batch in batches:
+        for batch in sliced(batches):
             rows += zip(*[batch.column(x).to_pylist() for x in range(len(names))], strict=True)
             if len(rows) > chunk + GROUP:
                 cut = len(rows) - 1
@@ -225,7 +270,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     target = _arrow_schema(spark, schema)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             raw = [utf8(t) for t in batch.column(2).to_pylist()]
             for a, b in slices([len(t) for t in raw], 1_000_000):
                 count, h, p, e, x = anchors(raw[a:b])
@@ -271,10 +316,11 @@ def repeats(documents: DataFrame) -> DataFrame:
 
     items, items_at = stage(arrow_map(plain.join(lists, ["d", "k"]), cut, "g long, d long, k long, p long, lo int, hi int, off int, ctx binary, w long, n long").dropDuplicates(["g", "d", "k", "p"]), "items")
     drop_stage(spark, wanted_at)
+    scratch_at = stage_path(spark, "columns")
     while True:
         small = items.where(F.col("n") <= GROUP).drop("n")
         placed = small.select("g", "d", "k", "p", "off", "ctx", "w").repartition("g").sortWithinPartitions("g")
-        ranges, ranges_at = stage(_sorted_groups(placed), "ranges")
+        ranges, ranges_at = stage(_sorted_groups(placed, Scratch(scratch_at)), "ranges")
         parts.append(ranges)
         hot = items.where(F.col("n") > GROUP)
         if hot.isEmpty():
@@ -288,7 +334,7 @@ def repeats(documents: DataFrame) -> DataFrame:
         sizes, sizes_at = stage(total.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         items, items_at = stage(total.join(sizes, "g").select("g", F.col("at.d").alias("d"), F.col("at.k").alias("k"), F.col("at.p").alias("p"), "lo", "hi", "off", "ctx", "w", "n"), "items")
         drop_stage(spark, halves_at, total_at, sizes_at)
-    drop_stage(spark, items_at)
+    drop_stage(spark, items_at, scratch_at)
     all_ranges = parts[0]
     for part in parts[1:]:
         all_ranges = all_ranges.unionByName(part)
