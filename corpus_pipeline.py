@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import bpe, decontaminate, jaccard, line_dedup, toxicity
-from tributary.llm.common import stage
+from tributary.llm.common import drop_since, stage, staged, unused
 
 #: The decisions of a trained model and of a tokenizer are not expressible in SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
@@ -27,14 +27,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, _table(spark, sf_dir, "labels"), keep=True)
-    return scored.where("predicted = 0").select(*docs.columns)
+    names = unused(docs.columns, "score", "predicted")
+    return toxicity.score(docs, _table(spark, sf_dir, "labels"), keep=True, names=names).where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = line_dedup.deduplicate(docs).where("n_removed = 0 or n_removed < n_lines")
+    names = unused(docs.columns, *line_dedup.NAMES)
+    lines, removed = F.col(names[0]), F.col(names[1])
+    done = line_dedup.deduplicate(docs, names=names).where((removed == 0) | (removed < lines))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
 
 
@@ -61,7 +63,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = _table(spark, sf_dir, "documents")
+    docs, mark = _table(spark, sf_dir, "documents"), staged()
     for name, each in STAGES:
-        docs, _ = stage(each(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = stage(each(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_since(spark, mark, path)  # what the stage staged, and the one before it
     return docs
