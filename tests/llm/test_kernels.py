@@ -5,9 +5,11 @@ import collections
 import gzip
 import hashlib
 import io
+import itertools
 import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -151,37 +153,54 @@ def test_least_matches():
         assert mass(m) >= 1e-4 * 0.98 and (m == 0 or mass(m - 1) < 1e-4 * 1.02)
 
 
-def test_decontamination():
-    words = lambda n, k: " ".join(f"w{i * k % 97}" for i in range(1, n + 1))
-    items = [(1, words(30, 5)), (2, words(13, 7)), (3, "short item"), (4, None), (5, "")]
-    index = decontaminate.TestIndex(items)
-    swap = lambda text, every: " ".join("zzz" if i % every == every - 1 else w for i, w in enumerate(text.split()))
-    texts = [f"hello there {items[0][1]} bye", swap(items[0][1], 8), f"x {items[1][1].upper()}!", "a short item here", words(12, 7), None, "", "clean words only", items[0][1][:40]]
-    assert {(d, i) for d, i, *_ in index.find(texts)} == {(0, 1), (1, 1), (2, 2), (3, 3)}
-    assert decontaminate.TestIndex([]).find(["a b c"]) == []
-
-
-def test_decontamination_finds_any_run():
-    rng = random.Random(6)
-    item = [f"w{i}" for i in range(60)]
-    index = decontaminate.TestIndex([(1, " ".join(item))])
-    mixed = lambda *parts: " ".join(w if same else "zzz" for w, same in zip(item, [same for n, same in parts for _ in range(n)], strict=False))
-    for parts in (((25, 1), (15, 0), (20, 1)), ((13, 1), (10, 0), (13, 1)), ((30, 1), (12, 0), (15, 1))):
-        assert [h[:2] for h in index.find([mixed(*parts)])] == [(0, 1)]
-    assert index.find([mixed((30, 1), (30, 0))]) == [(0, 1, 30, 30, 0)]
-    # an alignment that passes several documents counts in each of them
-    assert [h[0] for h in index.find([" ".join(item[:20]), " ".join(item[21:45]), "other words"])] == [0, 1]
-    seeded = 0
-    for _ in range(400):
-        rate, n = rng.choice((0.6, 0.75, 0.85)), rng.randint(13, 60)
-        same = [rng.random() < rate for _ in range(n)]
-        text = " ".join(w if x else "zzz" for w, x in zip(item, same, strict=False))
-        hit = any(all(same[i + k] for k, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for i in range(n - len(m) + 1))
-        runs = {(b - a, sum(same[a:b])) for a in range(n) for b in range(a + 13, n + 1) if 5 * sum(same[a:b]) >= 4 * (b - a)}
-        got = index.find([text])
-        assert bool(got) == (hit and bool(runs)) and all((h[2], h[3]) in runs and h[3] == sum(same[h[4] : h[4] + h[2]]) for h in got)
-        seeded += bool(got)
-    assert 100 < seeded < 400
+def test_masks_meet_every_substitution():
+    """Whatever fifth of 13 to 20 words is substituted, one of the masks fits on words that agree."""
+    masks = [[i for i, c in enumerate(m) if c == "1"] + [len(m)] for m in decontaminate.MASKS]
+    for n in range(13, 21):
+        for out in itertools.combinations(range(n), n // 5):
+            same = [i not in out for i in range(n)]
+            assert any(all(same[a + i] for i in m[:-1]) for m in masks for a in range(n - m[-1] + 1)), out
+
+
+def test_masks_of_short_items():
+    share = Fraction(4, 5)
+    for n in range(1, 13):
+        (mask,) = decontaminate.masks_for(n, 13, share)
+        for out in itertools.combinations(range(n), n // 5):
+            assert any(not set(range(a, a + len(mask))) & set(out) for a in range(n - len(mask) + 1))
+
+
+def test_longest_runs():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        item = rng.integers(0, 6 if rng.random() < 0.3 else 10**6, rng.integers(1, 40)).astype(np.uint64)
+        doc = rng.integers(0, 6, rng.integers(1, 60)).astype(np.uint64)
+        n = min(len(item), len(doc))
+        doc[:n] = np.where(rng.random(n) < 0.85, item[:n], doc[:n])
+        pairs = [([x], [y]) for x in range(len(doc)) for y in range(len(item)) if doc[x] == item[y]]
+        got = decontaminate.longest_runs(doc, [item], [pairs], 13, Fraction(4, 5), most=50)
+        need, runs = min(13, len(item)), []
+        for z in range(-len(item), len(doc)):
+            same = [doc[z + j] == item[j] for j in range(len(item)) if 0 <= z + j < len(doc)]
+            runs += [b - a for a in range(len(same)) for b in range(a + need, len(same) + 1) if 5 * sum(same[a:b]) >= 4 * (b - a)]
+        assert len(got) == bool(runs) and all(r[1] in runs and 5 * r[2] >= 4 * r[1] and r[3] + r[1] <= len(doc) for r in got)
+        assert all(r[1] >= max(runs) - max(runs) // 5 for r in got)  # substituted words at its ends are left out
+
+
+def test_longest_runs_of_one_word():
+    """An item and a document of one repeated word: every place of one meets every place of the other."""
+    item, doc = np.ones(500, np.uint64), np.ones(20_000, np.uint64)
+    places = [(list(range(20_000)), list(range(500)))]
+    assert decontaminate.longest_runs(doc, [item], [places], 13, Fraction(4, 5)) == [(0, 500, 500, 0)]
+
+
+def test_sieve_lets_all_seeds_through():
+    h = np.random.default_rng(1).integers(0, 1 << 62, 5000, dtype=np.uint64)
+    sieve = decontaminate.Sieve(16)
+    for plane in range(8):
+        sieve.table[decontaminate._slots(h[:2500], plane, 16)] |= np.uint8(1 << plane)
+    passed = set(sieve.passes(h).tolist())
+    assert passed >= set(range(2500)) and len(passed) < 2600
 
 
 def test_feistel():
@@ -235,7 +254,7 @@ def test_toxicity_learns_subwords():
     assert toxicity.features(["", None, "..."])[0].size == 0
 
 
-def test_column_sort():
+def test_column_sort(tmp_path):
     """Marks equal those of a plain comparison, with contexts that end early on both sides."""
     rng = random.Random(4)
     for _ in range(30):
@@ -247,10 +266,11 @@ def test_column_sort():
             b[rng.randrange(len(b))] = rng.choice(b"ab")
             a, z = rng.randint(0, 3), rng.randint(length + 1, before + length)
             rows.append(bytes(b[a:z])), left.append(a)
-        got = substring_dedup.column_sort(rows, np.array(left), before, length)
+        got = substring_dedup.column_sort(rows, np.array(left), before, substring_dedup.Scratch(f"file:{tmp_path}/s"), length)
         at = lambda i, c: rows[i][c - left[i] : c - left[i] + length] if c >= left[i] and c - left[i] + length <= len(rows[i]) else None  # noqa: B023, E731
         want = [[at(i, c) is not None and any(at(j, c) == at(i, c) for j in range(12) if j != i) for c in range(before + 1)] for i in range(12)]
         assert got.tolist() == want
+    assert not list((tmp_path / "s").iterdir())
 
 
 def test_anchors_depend_on_the_string_alone():
