@@ -2,12 +2,16 @@
 
 The decoder reads the whole lossless format: prefix codes (simple and normal), groups of them chosen by an entropy
 image, back-references with the two-dimensional distance map, the colour cache, and the inverse predictor,
-cross-colour, subtract-green and palette transforms. Where an image has one group of codes, no cache and no
-back-references, all pixels are decoded in vectorised passes: the symbol and length at every bit position are looked
-up, so that only the chain of pixel starts is followed one by one.
+cross-colour, subtract-green and palette transforms. Images with one group of codes are decoded in vectorised passes,
+many at a time where they share their codes: what a symbol would be at every bit position is looked up, only the chain
+of symbols is followed one by one, and back-references and cache codes become pointers to earlier pixels, which are
+resolved by pointer jumping.
 
-The encoder can apply each of these transforms; the operator stores documents with one fixed prefix code for all
-bytes, so equal texts are equal images.
+``store`` writes a document's bytes as pixels, and chooses for each image by its content alone, so equal texts are
+equal images: back-references wherever they are shorter than literals; the colour cache if it makes the image smaller;
+codes of its own if it has at least ``OWN_PIXELS`` pixels, else codes that are the same for all. An image in which
+half of the pixels equal their left or upper neighbour is also encoded under the transform (palette, subtract-green,
+predictor or cross-colour) after which its pixels have the least entropy, and stays so if that is smaller.
 
 Cases: null and empty texts are one row of blanks; texts over ``TILE_ROWS`` rows of 64 pixels become several images,
 one after the other; rows that repeat each get their own result; broken images raise ValueError.
@@ -17,8 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import zlib
+from array import array
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +35,7 @@ from tributary.llm.common import arrow_map, slices, starts, utf8
 ROW_PIXELS = 64
 UNIT = 3 * ROW_PIXELS
 TILE_ROWS = 4096
+OWN_PIXELS = 8192
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -44,6 +52,7 @@ DISTANCE_MAP = (
 CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOR, SUBTRACT_GREEN, PALETTE = range(4)
 _MOST = 15
+_CACHE_BITS, _LEAST_COPY, _MOST_COPY = 6, 3, 4096
 
 
 # Prefix codes
@@ -75,13 +84,12 @@ def code_lengths(weights: list[int], most: int = _MOST) -> list[int]:
 
 def canonical(lengths: list[int]) -> list[int]:
     """Codes of the lengths, bit-reversed, as the stream has them: first bit lowest."""
-    code, out = 0, [0] * len(lengths)
-    for n in range(1, _MOST + 1):
-        for i, x in enumerate(lengths):
-            if x == n:
-                out[i] = int(format(code, f"0{n}b")[::-1], 2)
-                code += 1
-        code <<= 1
+    code, size, out = 0, 0, [0] * len(lengths)
+    for n, i in sorted((n, i) for i, n in enumerate(lengths) if n):
+        code <<= n - size
+        size = n
+        out[i] = int(format(code, f"0{n}b")[::-1], 2)
+        code += 1
     return out
 
 
@@ -318,8 +326,14 @@ def _read_image(src: _Reader, width: int, height: int, *, main: bool) -> np.ndar
         groups_n = int(meta.max()) + 1
     sizes = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
     groups = [_Group(*[_read_code(src, n) for n in sizes]) for _ in range(groups_n)]
-    if meta is None and not cache_bits and int(groups[0].green.symbol.max()) < 256:
-        return _read_literals(src, groups[0], width * height).reshape(height, width)
+    if meta is None:
+        g = groups[0]
+        first = src.at >> 3
+        pixels, ends = _pixels(np.frombuffer(src.data, np.uint8)[first : (src.end + 7) >> 3], g, cache_bits, width, [src.at - 8 * first], [width * height])
+        src.at = 8 * first + ends[0]
+        if src.at > src.end:
+            raise ValueError("the image ends early")
+        return pixels.reshape(height, width)
     total = width * height
     out = [0] * total
     cache = [0] * (1 << cache_bits) if cache_bits else None
@@ -360,50 +374,116 @@ def _windows(data: np.ndarray) -> np.ndarray:
     return ((w[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).astype(np.uint16).reshape(-1)
 
 
-def _chains(data: np.ndarray, codes: list[PrefixCode], begin: list[int], pixels: list[int]) -> list[np.ndarray]:
-    """Symbols, one array for each code, of runs of literal pixels that start at bits ``begin`` of data."""
-    window = _windows(np.concatenate([data, np.zeros(12, np.uint8)]))
+def _extra_bits(prefix: np.ndarray) -> np.ndarray:
+    return np.where(prefix < 4, 0, (prefix - 2) >> 1)
+
+
+def _values(data: np.ndarray, at: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """Lengths or distances from their prefixes and the extra bits at some bit positions."""
+    n = _extra_bits(prefix)
+    byte = at >> 3
+    word = sum(data[np.minimum(byte + i, len(data) - 1)].astype(np.int64) << (8 * i) for i in range(4))
+    extra = word >> (at & 7) & ((1 << n) - 1)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << n) + extra + 1)
+
+
+def _distances(codes: np.ndarray, width: int) -> np.ndarray:
+    near = np.array([0] + [max(1, x + y * width) for x, y in DISTANCE_MAP])
+    return np.where(codes > 120, codes - 120, near[np.minimum(codes, 120)])
+
+
+def _pixels(data: np.ndarray, g: _Group, cache_bits: int, width: int, begin: list[int], pixels: list[int]) -> tuple[np.ndarray, list[int]]:
+    """ARGB values of images that follow each other in data and share their codes, and the bit after each image."""
+    data = np.concatenate([data, np.zeros(12, np.uint8)])
+    window = _windows(data)
     size = np.int32(len(window) - 1)
     place = np.arange(len(window), dtype=np.int32)
-    after = place
-    lengths: dict[int, np.ndarray] = {}
-    for c in codes:
-        if not c.single:
-            if id(c.length) not in lengths:
-                lengths[id(c.length)] = c.length[window].astype(np.int32)
-            n = lengths[id(c.length)]
-            after = n if after is place else after
-            after = np.minimum(place + n if after is n else after + n[after], size)
-    if after is place:
-        return [np.full(sum(pixels), c.symbol[0], np.uint8) for c in codes]
-    step, at, k = memoryview(after), np.empty(sum(pixels), np.int32), 0
-    marks = memoryview(at)
+    green = g.green.symbol[window]
+    after_green = np.minimum(place + g.green.length[window], size)
+    step = after_green
+    for code in (g.red, g.blue, g.alpha):
+        if not code.single:
+            step = np.minimum(step + code.length[window[step]], size)
+    grow = np.ones(len(window), np.int32)
+    odd = np.flatnonzero(green >= 256)
+    if len(odd):
+        step = step.copy() if step is after_green else step
+        step[odd] = after_green[odd]  # cache codes are the green symbol alone
+        odd = odd[green[odd] < 280]
+        prefix = green[odd].astype(np.int64) - 256
+        grow[odd] = _values(data, after_green[odd].astype(np.int64), prefix)
+        at = np.minimum(after_green[odd] + _extra_bits(prefix), size)
+        distance = g.distance.symbol[window[at]].astype(np.int64)
+        step[odd] = np.minimum(at + g.distance.length[window[at]] + _extra_bits(distance), size)
+    # the chain of symbols
+    steps, grows, marks, ends = memoryview(step), memoryview(grow), array("i"), []
+    add = marks.append
     for p, n in zip(begin, pixels, strict=True):
-        for k in range(k, k + n):  # noqa: B020
-            marks[k] = p
-            p = step[p]
-        k += n > 0
-    out = []
-    for c in codes:
-        if c.single:
-            out.append(np.full(len(at), c.symbol[0], np.uint8))
-        else:
-            out.append(c.symbol[window[at]].astype(np.uint8))
-            at = np.minimum(at + lengths[id(c.length)][at], size)
-    out.append(at)
+        while n > 0:
+            add(p)
+            n -= grows[p]
+            p = steps[p]
+        if n:
+            raise ValueError("a reference beyond the image")
+        ends.append(p)
+    at = np.frombuffer(marks, np.int32).astype(np.int64)
+    symbol, length = green[at].astype(np.int64), grow[at].astype(np.int64)
+    total = int(sum(pixels))
+    first = np.cumsum(length) - length  # pixel of each symbol
+    image = np.repeat(np.array([sum(pixels[:0])] + pixels[:-1]).cumsum(), pixels) if len(pixels) > 1 else np.zeros(total, np.int64)
+    value = np.zeros(total + 1, np.uint32)  # the last one is an empty place of the cache
+    source = np.arange(total + 1)
+    literal = np.flatnonzero(symbol < 256)
+    p, parts = after_green[at[literal]], []
+    for code in (g.red, g.blue, g.alpha):
+        parts.append(code.symbol[window[p]].astype(np.uint32))
+        if not code.single:
+            p = np.minimum(p + code.length[window[p]], size)
+    red, blue, alpha = parts
+    value[first[literal]] = alpha << np.uint32(24) | red << np.uint32(16) | symbol[literal].astype(np.uint32) << np.uint32(8) | blue
+    copies = np.flatnonzero((symbol >= 256) & (symbol < 280))
+    if len(copies):
+        start = after_green[at[copies]].astype(np.int64) + _extra_bits(symbol[copies] - 256)
+        prefix = g.distance.symbol[window[np.minimum(start, size)]].astype(np.int64)
+        back = _distances(_values(data, start + g.distance.length[window[np.minimum(start, size)]], prefix), width)
+        n = length[copies]
+        copied = np.repeat(first[copies] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        source[copied] = copied - np.repeat(back, n)
+        if (source[copied] < image[copied]).any():
+            raise ValueError("a reference outside the image")
+        _resolve(source, copied)
+    cached = np.flatnonzero(symbol >= 280)
+    if len(cached):
+        if not cache_bits:
+            raise ValueError("a cache code without a cache")
+        key = (value[:-1] * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int64)
+        at_cache = first[cached]
+        key[at_cache] = symbol[cached] - 280
+        key = key[source[:-1]]
+        before = _previous(image << 11 | key)
+        source[at_cache] = np.where(before[at_cache] < 0, total, before[at_cache])
+        _resolve(source, np.flatnonzero(source[:-1] != np.arange(total)))
+    return value[source[:-1]], ends
+
+
+def _resolve(source: np.ndarray, at: np.ndarray) -> None:
+    """Let the pointers of some pixels point to where their chains of pointers end."""
+    while len(at):
+        further = source[source[at]]
+        moved = further != source[at]
+        source[at] = further
+        at = at[moved]
+
+
+def _previous(keys: np.ndarray) -> np.ndarray:
+    """For each element the place of the one before it with an equal key, -1 without one."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(len(keys), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
     return out
 
 
-def _read_literals(src: _Reader, g: _Group, pixels: int) -> np.ndarray:
-    data = np.frombuffer(src.data, np.uint8)[src.at >> 3 : src.end + 7 >> 3]
-    green, red, blue, alpha, *at = _chains(data, [g.green, g.red, g.blue, g.alpha], [src.at & 7], [pixels])
-    if at:
-        src.at = (src.at >> 3 << 3) + int(at[0][-1])
-        if src.at > src.end:
-            raise ValueError("the image ends early")
-    return alpha.astype(np.uint32) << np.uint32(24) | red.astype(np.uint32) << np.uint32(16) | green.astype(np.uint32) << np.uint32(8) | blue
-
-
 # Transforms; images as (height, width, 4) int arrays in the order A, R, G, B
 
 
@@ -439,25 +519,24 @@ def _predict(mode: int, left, top, top_right, top_left) -> list[int]:
     return [clamp(m + int((m - c) / 2)) for m, c in zip(mean, top_left, strict=True)]
 
 
-def _predictor(pixels: np.ndarray, modes: np.ndarray, bits: int, inverse: bool) -> np.ndarray:
-    source = _split(pixels).tolist()
+def _unpredict(pixels: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
+    """Pixels from what is left after prediction, one after the other."""
+    source = _split(pixels).reshape(-1, 4).tolist()
     height, width = pixels.shape
-    done: list = [[None] * width for _ in range(height)]
-    plain = done if inverse else source
-    flat = lambda i: plain[i // width][i % width]
+    done: list = []
     for y in range(height):
         for x in range(width):
             i = y * width + x
             if i == 0:
                 guess = [255, 0, 0, 0]
             elif y == 0:
-                guess = flat(i - 1)
+                guess = done[-1]
             elif x == 0:
-                guess = flat(i - width)
+                guess = done[i - width]
             else:
-                guess = _predict(int(modes[y >> bits, x >> bits]), flat(i - 1), flat(i - width), flat(i - width + 1), flat(i - width - 1))
-            done[y][x] = [(v + g if inverse else v - g) & 255 for v, g in zip(source[y][x], guess, strict=True)]
-    return _join(np.array(done, np.int32))
+                guess = _predict(int(modes[y >> bits, x >> bits]), done[-1], done[i - width], done[i - width + 1], done[i - width - 1])
+            done.append([(v + g) & 255 for v, g in zip(source[i], guess, strict=True)])
+    return _join(np.array(done, np.int32).reshape(height, width, 4))
 
 
 def _cross_color(pixels: np.ndarray, table: np.ndarray, bits: int, inverse: bool) -> np.ndarray:
@@ -499,22 +578,68 @@ def _expand_palette(pixels: np.ndarray, palette: np.ndarray, width: int) -> np.n
 # Whole images
 
 
-def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), *, cache_bits: int = 0, back_references: bool = False, block_bits: int = 3) -> bytes:
+def _guesses(pixels: np.ndarray) -> list[np.ndarray]:
+    """What each of the 14 predictors gives at each pixel, but for the first row and column, where the format fixes it."""
+    p = _split(pixels)
+    top, left, corner = np.zeros_like(p), np.zeros_like(p), np.zeros_like(p)
+    top[1:], left[:, 1:], corner[1:, 1:] = p[:-1], p[:, :-1], p[:-1, :-1]
+    right = np.zeros_like(p)  # after the last column the row goes on with the pixel below its first one
+    right[1:, :-1], right[1:, -1] = p[:-1, 1:], p[1:, 0]
+    avg = lambda a, b: (a + b) >> 1
+    to_left, to_top = np.abs(top - corner).sum(axis=-1, keepdims=True), np.abs(left - corner).sum(axis=-1, keepdims=True)
+    mean = avg(left, top)
+    black = np.zeros_like(p)
+    black[..., 0] = 255
+    out = [black, left, top, right, corner, avg(avg(left, right), top), avg(left, corner), mean, avg(corner, top), avg(top, right), avg(avg(left, corner), avg(top, right))]
+    out += [np.where(to_left < to_top, left, top), np.clip(left + top - corner, 0, 255), np.clip(mean + np.trunc((mean - corner) / 2).astype(np.int32), 0, 255)]
+    for guess in out:
+        guess[0], guess[1:, 0] = left[0], top[1:, 0]
+        guess[0, 0] = (255, 0, 0, 0)
+    return out
+
+
+def _modes(pixels: np.ndarray, bits: int, blocks: tuple[int, int]) -> np.ndarray:
+    """For each block the predictor with the least sum of absolute differences."""
+    p, out = _split(pixels), []
+    for guess in _guesses(pixels):
+        error = (p - guess) & 255
+        error = np.minimum(error, 256 - error)[..., 1:].sum(axis=-1)
+        rows = np.add.reduceat(error, np.arange(blocks[0]) << bits, axis=0)
+        out.append(np.add.reduceat(rows, np.arange(blocks[1]) << bits, axis=1))
+    return np.argmin(np.stack(out), axis=0)
+
+
+def _residuals(pixels: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
+    """Pixels less what the predictors of their blocks give."""
+    mode = modes[np.arange(pixels.shape[0])[:, None] >> bits, np.arange(pixels.shape[1])[None, :] >> bits]
+    guess = np.choose(mode[..., None], _guesses(pixels))
+    return _join(_split(pixels) - guess)
+
+
+def _multipliers(pixels: np.ndarray, bits: int, blocks: tuple[int, int]) -> np.ndarray:
+    """For each block the least-squares share of green in red and in blue, of red in blue none."""
+    p = ((_split(pixels) + 128) & 255) - 128
+    total = lambda v: np.add.reduceat(np.add.reduceat(v, np.arange(blocks[0]) << bits, axis=0), np.arange(blocks[1]) << bits, axis=1)
+    red, green, blue = p[..., 1], p[..., 2], p[..., 3]
+    share = lambda v: np.clip(np.rint(32 * total(v * green) / np.maximum(1, total(green * green))), -128, 127).astype(np.int32)
+    return _join(np.stack([np.full(blocks, 255), np.zeros(blocks, np.int32), share(blue), share(red)], axis=-1))
+
+
+def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), *, cache_bits: int = 0, back_references: bool = False, block_bits: int = 3, modes: np.ndarray | None = None, multipliers: np.ndarray | None = None) -> bytes:
     """An image of (height, width) ARGB values. Transforms are applied in the order given; a palette needs at most 256 colours."""
     height, width = pixels.shape
     out = _Writer()
     _head(out, width, height)
-    rng = np.random.default_rng(width * height)
     for kind in transforms:
         out.put(1, 1), out.put(kind, 2)
         blocks = (-(-pixels.shape[0] >> block_bits), -(-pixels.shape[1] >> block_bits))
         if kind == PREDICTOR:
-            modes = rng.integers(0, 14, blocks)
+            chosen = _modes(pixels, block_bits, blocks) if modes is None else modes
             out.put(block_bits - 2, 3)
-            _write_image(out, 0xFF000000 + (modes.astype(np.uint32) << np.uint32(8)), main=False)
-            pixels = _predictor(pixels, modes, block_bits, False)
+            _write_image(out, 0xFF000000 + (chosen.astype(np.uint32) << np.uint32(8)), main=False)
+            pixels = _residuals(pixels, chosen, block_bits)
         elif kind == CROSS_COLOR:
-            table = _join(np.concatenate([np.full((*blocks, 1), 255), rng.integers(0, 256, (*blocks, 3))], axis=-1))
+            table = _multipliers(pixels, block_bits, blocks) if multipliers is None else multipliers
             out.put(block_bits - 2, 3)
             _write_image(out, table, main=False)
             pixels = _cross_color(pixels, table, block_bits, False)
@@ -583,7 +708,7 @@ def decode(data: bytes) -> np.ndarray:
     pixels = _read_image(src, now, height, main=True)
     for kind, bits, table, wide in reversed(steps):
         if kind == PREDICTOR:
-            pixels = _predictor(pixels, table >> np.uint32(8) & np.uint32(15), bits, True)
+            pixels = _unpredict(pixels, table >> np.uint32(8) & np.uint32(15), bits)
         elif kind == CROSS_COLOR:
             pixels = _cross_color(pixels, table, bits, True)
         elif kind == SUBTRACT_GREEN:
@@ -593,7 +718,7 @@ def decode(data: bytes) -> np.ndarray:
     return pixels
 
 
-# Byte payloads under one fixed code
+# Byte payloads
 
 
 def _byte_weights() -> list[int]:
@@ -608,92 +733,258 @@ def _byte_weights() -> list[int]:
     return weights
 
 
-def _fixed_head() -> tuple[int, int, list[int], list[int]]:
-    """Bits after the size of each stored image, their number, and the code of bytes."""
-    lengths = code_lengths(_byte_weights())
-    out = _Writer()
-    out.put(0, 1), out.put(0, 3), out.put(0, 1)  # no alpha, version, no transform
-    out.put(0, 1), out.put(0, 1)  # no cache, one group
-    _write_code(out, lengths + [0] * 24), _write_code(out, lengths), _write_code(out, lengths)
-    _write_code(out, [0] * 255 + [1]), _write_code(out, [0] * 40)
-    return out.value, out.size, lengths, canonical(lengths)
+@dataclass
+class Coding:
+    """Lengths of the five codes (green, red, blue, alpha, distance) of an image without transforms, and its bits after the size."""
+
+    cache_bits: int
+    lengths: list[list[int]]
+    shared: bool = True
+
+    def __post_init__(self):
+        out = _Writer()
+        out.put(0, 1), out.put(0, 3), out.put(0, 1)  # no alpha, version, no transform
+        out.put(int(self.cache_bits > 0), 1)
+        if self.cache_bits:
+            out.put(self.cache_bits, 4)
+        out.put(0, 1)  # one group
+        for n in self.lengths:
+            _write_code(out, n)
+        self.head, self.head_bits = out.value, out.size
+        self.used = [np.array(n if sum(x > 0 for x in n) > 1 else [0] * len(n), np.int64) for n in self.lengths]
+        self.codes = [np.array(canonical(n), np.uint64) for n in self.lengths]
+        self._group: _Group | None = None
+
+    @property
+    def group(self) -> _Group:
+        if self._group is None:
+            self._group = _Group(*[PrefixCode.of(n) for n in self.lengths])
+        return self._group
+
+
+_SHARED: list[Coding] = []
+
+
+def shared_codings() -> list[Coding]:
+    """Without and with a cache: codes from weights by rule, the shorter lengths and the farther distances likelier."""
+    if not _SHARED:
+        plain = code_lengths(_byte_weights())
+        for bits in (0, _CACHE_BITS):
+            extra = [4000 // (i + 2) for i in range(24)] + [1200] * ((1 << bits) if bits else 0)
+            lengths = [code_lengths(_byte_weights() + extra), plain, plain, [0] * 255 + [1], code_lengths([1 + i * i for i in range(40)])]
+            _SHARED.append(Coding(bits, lengths))
+    return _SHARED
 
 
-_FIXED = None
+def padded(text: bytes) -> bytes:
+    return text + b" " * (-len(text) % UNIT if text else UNIT)
 
 
-def _fixed():
-    global _FIXED
-    if _FIXED is None:
-        value, size, lengths, codes = _fixed_head()
-        _FIXED = value, size, np.array(lengths, np.int64), np.array(codes, np.uint64), PrefixCode.of(lengths)
-    return _FIXED
+@dataclass
+class _Tokens:
+    """Symbols of some images: the pixel at which each begins, its image, kind (0 literal, 1 copy), length and distance; and for all pixels the previous one with the same place in a cache."""
 
+    at: np.ndarray
+    image: np.ndarray
+    copy: np.ndarray
+    length: np.ndarray
+    distance: np.ndarray
+    hit: np.ndarray
+    key: np.ndarray
+
+
+def _tokens_of(pixels: np.ndarray, image: np.ndarray, image_end: np.ndarray) -> _Tokens:
+    """Back-references to the nearest equal three pixels, as long as the distance stays the same."""
+    n = len(pixels)
+    wide = np.append(pixels, np.zeros(2, np.uint32)).astype(np.uint64)
+    h = (wide[:-2] * np.uint64(0x9E3779B97F4A7C15) + wide[1:-1] * np.uint64(0xD6E8FEB86659FD93) + wide[2:] * np.uint64(0xC2B2AE3D27D4EB4F) + image.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+    before = _previous((h ^ h >> np.uint64(32)).view(np.int64))
+    place = np.arange(n)
+    ok = np.flatnonzero((before >= 0) & (place + 2 < image_end))
+    j = before[ok]
+    ok = ok[(image[j] == image[ok]) & (pixels[j] == pixels[ok]) & (pixels[j + 1] == pixels[ok + 1]) & (pixels[np.minimum(j + 2, n - 1)] == pixels[ok + 2])]
+    back = np.zeros(n + 1, np.int64)
+    back[ok] = ok - before[ok]
+    new = np.flatnonzero(back[1:] != back[:-1]) + 1
+    edges = np.concatenate([[0], new, [n]]) if n else np.zeros(1, np.int64)
+    begin, size = edges[:-1], np.diff(edges)
+    on = back[begin] > 0
+    begin, end = begin[on], (begin + size)[on] + _LEAST_COPY - 1
+    begin = np.maximum(begin, np.append(0, end[:-1])) if len(begin) else begin
+    on = end - begin >= _LEAST_COPY
+    begin, end = begin[on], end[on]
+    inside = np.zeros(n + 1, np.int32)
+    np.add.at(inside, begin, 1), np.add.at(inside, end, -1)
+    literal = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+    pieces = -(-(end - begin) // _MOST_COPY)
+    start = np.repeat(begin, pieces) + (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _MOST_COPY
+    length = np.minimum(np.repeat(end, pieces) - start, _MOST_COPY)
+    distance = np.repeat(back[np.minimum(begin, n - 1)], pieces) if len(begin) else np.zeros(0, np.int64)
+    at = np.concatenate([literal, start])
+    order = np.argsort(at, kind="stable")
+    kind = np.concatenate([np.zeros(len(literal), bool), np.ones(len(start), bool)])[order]
+    at = at[order]
+    key = (pixels * np.uint32(CACHE_FACTOR) >> np.uint32(32 - _CACHE_BITS)).astype(np.int64)
+    last = _previous(image.astype(np.int64) << 11 | key)
+    hit = (last >= 0) & (pixels[last] == pixels)
+    return _Tokens(at, image[at], kind, np.concatenate([np.ones(len(literal), np.int64), length])[order], np.concatenate([np.zeros(len(literal), np.int64), distance])[order], hit[at] & ~kind, key[at])
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix, extra bits and their number of lengths or distances from 1."""
+    v = values - 1
+    n = np.maximum(np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 2, 0)
+    half = v >> n & 1
+    small = v < 4
+    return np.where(small, v, 2 * n + 2 + half), np.where(small, 0, v - ((2 + half) << n)), np.where(small, 0, n)
+
+
+def _store_tiles(tiles: list[bytes]) -> list[bytes]:
+    """Images of payloads, many at a time."""
+    sizes = np.array([len(t) // 3 for t in tiles], np.int64)
+    raw = np.frombuffer(b"".join(tiles), np.uint8).reshape(-1, 3).astype(np.uint32)
+    pixels = np.uint32(0xFF000000) | raw[:, 0] << np.uint32(16) | raw[:, 1] << np.uint32(8) | raw[:, 2]
+    image = np.repeat(np.arange(len(tiles)), sizes)
+    t = _tokens_of(pixels, image, np.repeat(np.cumsum(sizes), sizes))
+    lead = starts(np.bincount(t.image, minlength=len(tiles)))
+    lp, lx, ln = _prefixes(t.length)
+    dp, dx, dn = _prefixes(t.distance + 120)
+    value = pixels[t.at]
+    parts = [(value >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (8, 16, 0)]
+    codings = list(shared_codings())
+
+    def bits(c: Coding, cache: np.ndarray | bool) -> np.ndarray:
+        green, red, blue, _, far = c.used
+        plain = green[parts[0]] + red[parts[1]] + blue[parts[2]]
+        plain = np.where(t.hit & cache, green[np.minimum(280 + t.key, len(green) - 1)], plain) if c.cache_bits else plain
+        return np.where(t.copy, green[256 + lp] + ln + far[dp] + dn, plain)
+
+    sums = [np.add.reduceat(bits(c, True), lead) + c.head_bits for c in codings]
+    coding = (sums[1] < sums[0]).astype(np.int64)  # of each image
+    for i in np.flatnonzero(sizes >= OWN_PIXELS).tolist():
+        own = slice(int(lead[i]), int(lead[i + 1]) if i + 1 < len(tiles) else len(t.at))
+        cached, copy = t.hit[own] & bool(coding[i]), t.copy[own]
+        green = np.where(copy, 256 + lp[own], np.where(cached, 280 + t.key[own], parts[0][own]))
+        alone = ~copy & ~cached
+        counts = [np.bincount(green, minlength=280 + ((1 << _CACHE_BITS) if coding[i] else 0)), np.bincount(parts[1][own][alone], minlength=256), np.bincount(parts[2][own][alone], minlength=256)]
+        fitted = Coding(_CACHE_BITS if coding[i] else 0, [code_lengths(c.tolist()) for c in counts] + [[0] * 255 + [1], code_lengths(np.bincount(dp[own][copy], minlength=40).tolist())], False)
+        coding[i] = len(codings)
+        codings.append(fitted)
+    wide = max(len(c.used[0]) for c in codings)
+    table = lambda k, width, what: np.stack([np.pad(getattr(c, what)[k], (0, width - len(getattr(c, what)[k]))) for c in codings])
+    size_of = [table(k, w, "used") for k, w in ((0, wide), (1, 256), (2, 256), (4, 40))]
+    code_of = [table(k, w, "codes") for k, w in ((0, wide), (1, 256), (2, 256), (4, 40))]
+    c = coding[t.image]
+    cached = t.hit & np.array([x.cache_bits > 0 for x in codings])[c]
+    green = np.where(t.copy, 256 + lp, np.where(cached, 280 + t.key, parts[0]))
+    n_fields = np.where(t.copy, 4, np.where(cached, 1, 3))
+    base = np.cumsum(n_fields) - n_fields
+    n = np.zeros(int(n_fields.sum()), np.int64)
+    code = np.zeros(len(n), np.uint64)
+    n[base], code[base] = size_of[0][c, green], code_of[0][c, green]
+    alone, copy = np.flatnonzero(~t.copy & ~cached), np.flatnonzero(t.copy)
+    for k in (1, 2):
+        n[base[alone] + k], code[base[alone] + k] = size_of[k][c[alone], parts[k][alone]], code_of[k][c[alone], parts[k][alone]]
+    at = base[copy]
+    n[at + 1], code[at + 1] = ln[copy], lx[copy].astype(np.uint64)
+    n[at + 2], code[at + 2] = size_of[3][c[copy], dp[copy]], code_of[3][c[copy], dp[copy]]
+    n[at + 3], code[at + 3] = dn[copy], dx[copy].astype(np.uint64)
+    code = np.where(n > 0, code, np.uint64(0))
+    total = np.cumsum(n)
+    first = base[lead]
+    head_bits = 36 + np.array([x.head_bits for x in codings])[coding]
+    size_bytes = (head_bits + np.add.reduceat(n, first) + 7) // 8
+    origin = 8 * starts(size_bytes)
+    per_image = np.diff(np.append(first, len(n)))
+    place = total - n + np.repeat(origin + head_bits - (total[first] - n[first]), per_image)
+    word = place >> 5
+    shifted = code << (place & 31).astype(np.uint64)
+    change = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    words = np.zeros(int(origin[-1] // 8 + size_bytes[-1]) // 4 + 3, np.uint64)
+    words[word[change]] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), change)
+    words[word[change] + 1] += np.add.reduceat(shifted >> np.uint64(32), change)
+    stream = words.astype("<u4").tobytes()
+    out = []
+    for tile, b, s, own in zip(tiles, (origin // 8).tolist(), size_bytes.tolist(), coding.tolist(), strict=True):
+        head = 0x2F | (ROW_PIXELS - 1) << 8 | (len(tile) // UNIT - 1) << 22 | codings[own].head << 36
+        n_head = (36 + codings[own].head_bits + 7) // 8
+        body = stream[b : b + s]
+        joined = head | int.from_bytes(body[:n_head], "little")
+        out.append(_riff(joined.to_bytes(n_head, "little") + body[n_head:]))
+    # pixels that are like their neighbours are worth a transform
+    alike = np.zeros(len(pixels), bool)
+    alike[1:] |= pixels[1:] == pixels[:-1]
+    alike[ROW_PIXELS:] |= pixels[ROW_PIXELS:] == pixels[:-ROW_PIXELS]
+    begin = starts(sizes)
+    share = np.add.reduceat(alike, begin, dtype=np.int64) / sizes
+    for i in np.flatnonzero(share >= 0.5).tolist():
+        out[i] = min(out[i], _transformed(pixels[begin[i] : begin[i] + sizes[i]].tobytes()), key=len)
+    return out
 
-def padded(text: bytes) -> bytes:
-    return text + b" " * (-len(text) % UNIT if text else UNIT)
+
+@lru_cache(maxsize=512)
+def _transformed(data: bytes) -> bytes:
+    """An image under the transforms after which its pixels' entropy is least."""
+    pixels = np.frombuffer(data, np.uint32).reshape(-1, ROW_PIXELS)
+
+    def entropy(values: np.ndarray) -> float:
+        n = np.unique(values, return_counts=True)[1]
+        return float(-(n * np.log2(n / values.size)).sum())
+
+    blocks = tuple(-(-n >> 3) for n in pixels.shape)
+    parts = lambda p: sum(entropy(x) for x in (p >> np.uint32(16) & np.uint32(255), p >> np.uint32(8) & np.uint32(255), p & np.uint32(255)))
+    costs = {(SUBTRACT_GREEN,): parts(_subtract_green(pixels, False)), (PREDICTOR,): parts(_residuals(pixels, _modes(pixels, 3, blocks), 3)), (CROSS_COLOR,): parts(_cross_color(pixels, _multipliers(pixels, 3, blocks), 3, False))}
+    colours = len(np.unique(pixels))
+    if colours <= 256:
+        costs[(PALETTE,)] = entropy(pixels) + 24 * colours
+    return encode(pixels, min(costs, key=costs.get), back_references=True)
 
 
 def store(payloads: list[bytes]) -> list[bytes]:
     """Images of payloads, whose sizes are positive multiples of 192: 64 pixels a row, R, G and B the next three bytes."""
-    value, head_bits, lengths, codes, _ = _fixed()
     out: list[list[bytes]] = [[] for _ in payloads]
     tiles = [(i, p[a : a + UNIT * TILE_ROWS]) for i, p in enumerate(payloads) for a in range(0, len(p), UNIT * TILE_ROWS)]
-    for first, end in slices([len(t) for _, t in tiles], 400_000):
+    for first, end in slices([len(t) for _, t in tiles], 200_000):
         part = tiles[first:end]
-        sizes = np.array([len(t) for _, t in part], np.int64)
-        data = np.frombuffer(b"".join(t for _, t in part), np.uint8).reshape(-1, 3)[:, [1, 0, 2]].reshape(-1)
-        n = lengths[data]
-        total = np.cumsum(n)
-        at = starts(sizes)
-        before = total[at] - n[at]
-        bits = 36 + head_bits + np.add.reduceat(n, at)
-        size_bytes = (bits + 7) // 8
-        base = 8 * starts(size_bytes)
-        place = total - n + np.repeat(base + 36 + head_bits - before, sizes)
-        word = place >> 5
-        shifted = codes[data] << (place & 31).astype(np.uint64)
-        change = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        words = np.zeros(int(base[-1] // 8 + size_bytes[-1]) // 4 + 3, np.uint64)
-        words[word[change]] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), change)
-        words[word[change] + 1] += np.add.reduceat(shifted >> np.uint64(32), change)
-        stream = words.astype("<u4").tobytes()
-        for (i, tile), b, s in zip(part, base // 8, size_bytes, strict=True):
-            head = 0x2F | (ROW_PIXELS - 1) << 8 | (len(tile) // UNIT - 1) << 22 | value << 36
-            n_head = (36 + head_bits + 7) // 8
-            body = stream[b : b + s]
-            joined = head | int.from_bytes(body[:n_head], "little")
-            out[i].append(_riff(joined.to_bytes(n_head, "little") + body[n_head:]))
+        for (i, _), image in zip(part, _store_tiles([t for _, t in part]), strict=True):
+            out[i].append(image)
     return [b"".join(x) for x in out]
 
 
 def load(media: list[bytes]) -> list[bytes]:
-    """The payloads of stored images. Images under the fixed code are decoded many at a time, others one by one."""
-    value, head_bits, _, _, code = _fixed()
+    """The payloads of stored images. Images that share their codes are decoded many at a time, others one by one."""
     out: list[list] = [[] for _ in media]
-    quick: list[tuple[int, int, bytes, int]] = []
+    codings = shared_codings()
+    alike: list[list[tuple[int, int, bytes, int]]] = [[] for _ in codings]
+    rgb = lambda pixels: pixels.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
     for i, data in enumerate(media):
         at = 0
         while at < len(data):
             begin = at
             stream, at = _unriff(data, at)
-            head = int.from_bytes(stream[: (36 + head_bits + 7) // 8], "little")
-            if stream[0] == 0x2F and head >> 36 & ((1 << head_bits) - 1) == value:
-                width, height = (head >> 8 & 0x3FFF) + 1, (head >> 22 & 0x3FFF) + 1
-                out[i].append(None)
-                quick.append((i, len(out[i]) - 1, stream, width * height))
+            for c, group in zip(codings, alike, strict=True):
+                head = int.from_bytes(stream[: (36 + c.head_bits + 7) // 8], "little")
+                if stream[0] == 0x2F and head >> 36 & ((1 << c.head_bits) - 1) == c.head:
+                    width, height = (head >> 8 & 0x3FFF) + 1, (head >> 22 & 0x3FFF) + 1
+                    out[i].append(None)
+                    group.append((i, len(out[i]) - 1, stream, width, height))
+                    break
             else:
-                p = _split(decode(data[begin:at]))
-                out[i].append(p[..., 1:].astype(np.uint8).tobytes())
-    for first, end in slices([len(q[2]) for q in quick], 200_000):
-        part = quick[first:end]
-        at = starts(np.array([len(q[2]) for q in part], np.int64))
-        green, red, blue, _ = _chains(np.frombuffer(b"".join(q[2] for q in part), np.uint8), [code, code, code], [int(8 * a) + 36 + head_bits for a in at], [q[3] for q in part])
-        rgb = np.stack([red, green, blue], axis=1).tobytes()
-        k = 0
-        for i, j, _, n in part:
-            out[i][j] = rgb[3 * k : 3 * (k + n)]
-            k += n
+                out[i].append(rgb(decode(data[begin:at]).reshape(-1)))
+    for c, group in zip(codings, alike, strict=True):
+        group.sort(key=lambda q: q[3])  # images of one width lie together, so that distances mean the same
+        for width, same in itertools.groupby(group, key=lambda q: q[3]):
+            same = list(same)
+            for first, end in slices([len(q[2]) for q in same], 50_000):
+                part = same[first:end]
+                at = starts(np.array([len(q[2]) for q in part], np.int64)).tolist()
+                pixels, ends = _pixels(np.frombuffer(b"".join(q[2] for q in part), np.uint8), c.group, c.cache_bits, width, [8 * a + 36 + c.head_bits for a in at], [width * q[4] for q in part])
+                plain, k = rgb(pixels), 0
+                for (i, j, stream, _, height), a, stop in zip(part, at, ends, strict=True):
+                    if stop > 8 * (a + len(stream)):
+                        raise ValueError("the image ends early")
+                    out[i][j] = plain[3 * k : 3 * (k + width * height)]
+                    k += width * height
     return [b"".join(x) for x in out]
 
 
