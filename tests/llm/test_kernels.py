@@ -77,6 +77,151 @@ def test_bpe_is_exact():
         assert tiny.encode_piece(piece) == ([tiny.ranks[piece]] if piece in tiny.ranks else tiny.merge(piece))
 
 
+def plain_webp(data):
+    """A reader of one lossless image that takes single bits and looks codes up in dictionaries."""
+    body, place = data[20 : 20 + int.from_bytes(data[16:20], "little")], [0]
+
+    def bits(n):
+        out = 0
+        for i in range(n):
+            out |= (body[place[0] >> 3] >> (place[0] & 7) & 1) << i
+            place[0] += 1
+        return out
+
+    def table(lengths):
+        used = sorted((n, i) for i, n in enumerate(lengths) if n)
+        if len(used) < 2:
+            return used[0][1] if used else 0
+        out, code, size = {}, 0, 0
+        for n, i in used:
+            code <<= n - size
+            size = n
+            out[n, code] = i
+            code += 1
+        return out
+
+    def symbol(code):
+        if isinstance(code, int):
+            return code
+        n, value = 0, 0
+        while (n, value) not in code:
+            n, value = n + 1, value << 1 | bits(1)
+        return code[n, value]
+
+    def read_code(size):
+        lengths = [0] * size
+        if bits(1):
+            two = bits(1)
+            lengths[bits(8 if bits(1) else 1)] = 1
+            if two:
+                lengths[bits(8)] = 1
+            return table(lengths)
+        own = [0] * 19
+        for i in range(bits(4) + 4):
+            own[[17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15][i]] = bits(3)
+        own, left = table(own), bits(2 + 2 * bits(3)) + 2 if bits(1) else size
+        i, last = 0, 8
+        while i < size and left:
+            left -= 1
+            c = symbol(own)
+            if c < 16:
+                lengths[i], last, i = c, c or last, i + 1
+            else:
+                n = {16: lambda: bits(2) + 3, 17: lambda: bits(3) + 3, 18: lambda: bits(7) + 11}[c]()
+                for k in range(n):
+                    lengths[i + k] = last if c == 16 else 0
+                i += n
+        return table(lengths)
+
+    def value(prefix):
+        return prefix + 1 if prefix < 4 else (2 + prefix % 2 << (prefix - 2) // 2) + bits((prefix - 2) // 2) + 1
+
+    def image(w, h, main):
+        cache_bits = bits(4) if bits(1) else 0
+        assert not (main and bits(1))
+        codes = [read_code(n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
+        cache, out = {}, []
+        while len(out) < w * h:
+            g = symbol(codes[0])
+            if g < 256:
+                r, b, a = symbol(codes[1]), symbol(codes[2]), symbol(codes[3])
+                new = [a << 24 | r << 16 | g << 8 | b]
+            elif g < 280:
+                n = value(g - 256)
+                d = value(symbol(codes[4]))
+                d = d - 120 if d > 120 else max(1, webp.DISTANCE_MAP[d - 1][0] + webp.DISTANCE_MAP[d - 1][1] * w)
+                new = [None] * n
+                for k in range(n):
+                    new[k] = out[len(out) + k - d] if k < d else new[k - d]
+            else:
+                new = [cache.get(g - 280, 0)]
+            out += new
+            for v in new:
+                cache[(0x1E35A7BD * v & 0xFFFFFFFF) >> 32 - cache_bits] = v
+        return out
+
+    four = lambda v: [v >> 24 & 255, v >> 16 & 255, v >> 8 & 255, v & 255]
+    one = lambda p: (p[0] & 255) << 24 | (p[1] & 255) << 16 | (p[2] & 255) << 8 | p[3] & 255
+    signed = lambda v: (v & 255) - 256 if v & 128 else v & 255
+    assert bits(8) == 0x2F
+    w, h = bits(14) + 1, bits(14) + 1
+    bits(1), bits(3)
+    steps, now = [], w
+    while bits(1):
+        kind = bits(2)
+        if kind < 2:
+            size = bits(3) + 2
+            steps.append((kind, now, size, image(-(-now >> size), -(-h >> size), False)))
+        elif kind == 2:
+            steps.append((kind, now, 0, None))
+        else:
+            n = bits(8) + 1
+            colours = [four(v) for v in image(n, 1, False)]
+            for i in range(1, n):
+                colours[i] = [(x + y) & 255 for x, y in zip(colours[i], colours[i - 1], strict=True)]
+            shift = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+            steps.append((kind, now, shift, colours))
+            now = -(-now >> shift)
+    out = [four(v) for v in image(now, h, True)]
+    for kind, wide, size, extra in reversed(steps):
+        if kind == 3:
+            rows = [out[y * (-(-wide >> size)) :][: -(-wide >> size)] for y in range(h)]
+            depth = 8 >> size
+            index = [[row[x >> size][2] >> depth * (x % (1 << size)) & ((1 << depth) - 1) for x in range(wide)] for row in rows]
+            out = [(extra + [[0] * 4] * 256)[i] for row in index for i in row]
+            continue
+        blocks = -(-wide >> size)
+        for i in range(wide * h):
+            y, x = divmod(i, wide)
+            a, r, g, b = out[i]
+            if kind == 2:
+                out[i] = [a, (r + g) & 255, g, (b + g) & 255]
+            elif kind == 1:
+                _, rb, gb, gr = four(extra[(y >> size) * blocks + (x >> size)])
+                r = r + (signed(gr) * signed(g) >> 5) & 255
+                out[i] = [a, r, g, b + (signed(gb) * signed(g) >> 5) + (signed(rb) * signed(r) >> 5) & 255]
+            else:
+                if not i:
+                    guess = [255, 0, 0, 0]
+                elif not y or not x:
+                    guess = out[i - 1] if not y else out[i - wide]
+                else:
+                    left, top, right, corner = out[i - 1], out[i - wide], out[i - wide + 1], out[i - wide - 1]
+                    mode = extra[(y >> size) * blocks + (x >> size)] >> 8 & 15
+                    mid = lambda p, q: [(u + v) // 2 for u, v in zip(p, q, strict=True)]
+                    near = lambda p, q: sum(abs(u - v) for u, v in zip(p, q, strict=True))
+                    clip = lambda v: max(0, min(255, v))
+                    guess = {
+                        0: lambda: [255, 0, 0, 0], 1: lambda: left, 2: lambda: top, 3: lambda: right, 4: lambda: corner, 5: lambda: mid(mid(left, right), top), 6: lambda: mid(left, corner), 7: lambda: mid(left, top),
+                        8: lambda: mid(corner, top), 9: lambda: mid(top, right), 10: lambda: mid(mid(left, corner), mid(top, right)), 11: lambda: left if near(top, corner) < near(left, corner) else top,
+                        12: lambda: [clip(u + v - c) for u, v, c in zip(left, top, corner, strict=True)],
+                        13: lambda: [clip(m + int((m - c) / 2)) for m, c in zip(mid(left, top), corner, strict=True)],
+                    }[mode]()
+                out[i] = [(u + v) & 255 for u, v in zip(out[i], guess, strict=True)]
+    flat = [one(p) for p in out]
+    return [flat[y * w : (y + 1) * w] for y in range(h)]
+
+
 def test_webp_round_trips():
     rng = np.random.default_rng(3)
     for k in range(12):
@@ -85,7 +230,10 @@ def test_webp_round_trips():
         pixels = rng.choice(few, (h, w))
         for steps in ((), (webp.PREDICTOR,), (webp.CROSS_COLOR, webp.SUBTRACT_GREEN), (webp.PALETTE,), (webp.PREDICTOR, webp.CROSS_COLOR, webp.SUBTRACT_GREEN)):
             for cache, back in ((0, False), (5, True)):
-                assert (webp.decode(webp.encode(pixels, steps, cache_bits=cache, back_references=back)) == pixels).all(), (k, steps, cache, back)
+                modes = rng.integers(0, 14, (-(-h >> 3), -(-w >> 3))) if k % 2 else None
+                table = rng.integers(0, 1 << 32, (-(-h >> 3), -(-w >> 3)), dtype=np.uint64).astype(np.uint32) if k % 2 else None
+                data = webp.encode(pixels, steps, cache_bits=cache, back_references=back, modes=modes, multipliers=table)
+                assert (webp.decode(data) == pixels).all() and plain_webp(data) == pixels.tolist(), (k, steps, cache, back)
     assert len(webp.DISTANCE_MAP) == 120
 
 
@@ -104,11 +252,17 @@ def test_webp_groups_of_codes():
 
 
 def test_webp_payloads():
-    texts = [b"", b"a", "größer\n".encode() * 700, bytes(range(256)) * 3, b"x" * (webp.UNIT * webp.TILE_ROWS + 1)]
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(("the", "of", "größe", "and", "word", "nuit", "12")) for _ in range(n)).encode()
+    texts = [b"", b"a", "größer\n".encode() * 700, bytes(range(256)) * 3, b"x" * (webp.UNIT * webp.TILE_ROWS + 1), prose(300), rng.randbytes(3000), prose(9000), b"ab" * 90 + prose(40) + b"ab" * 400]
     payloads = [webp.padded(t) for t in texts]
     media = webp.store(payloads)
-    assert webp.load(media) == payloads and webp.store([payloads[2]]) == [media[2]]
-    assert [len(p) % 192 for p in payloads] == [0] * 5 and len(payloads[0]) == 192
+    assert webp.load(media) == payloads and webp.store([payloads[2]]) == [media[2]] and webp.store(payloads[::-1]) == media[::-1]
+    assert webp.load([media[5], media[4] + media[5]]) == [payloads[5], payloads[4] + payloads[5]]
+    for i in (0, 1, 2, 3, 5, 6, 8):
+        assert b"".join(bytes(v >> s & 255 for s in (16, 8, 0)) for row in plain_webp(media[i]) for v in row) == payloads[i]
+    assert len(media[7]) < 0.5 * len(payloads[7]) and len(media[2]) < 300
+    assert [len(p) % 192 for p in payloads] == [0] * 9 and len(payloads[0]) == 192
     small = webp.decode(media[1])
     assert webp._split(small)[..., 1:].astype(np.uint8).tobytes() == payloads[1]
     with pytest.raises(ValueError):
