@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 # Words read as booleans.
 TRUE_WORDS = ("1", "t", "T", "true", "TRUE", "True", "YES", "Yes", "yes")
 FALSE_WORDS = ("0", "f", "F", "false", "FALSE", "False", "NO", "No", "no")
-#: Patterns of accepted timestamps, tried in order.
+# The accepted layouts of timestamps, in the notation of Java's formatters.
 TIMESTAMP_PATTERNS = (
     "yyyy-MM-dd",
     "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]",
@@ -23,6 +23,14 @@ TIMESTAMP_PATTERNS = (
     "yyyy-MM-dd'T'HH:mm:ssxx",
     "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]x",
 )
+# The same as two expressions: what Spark's cast reads as it stands, and what has to be brought into that form first.
+_DAY, _TIME = r"\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}:\d{2}"
+_ISO = rf"^{_DAY}([ T]{_TIME}(\.\d{{1,9}})?(Z|[+-]\d{{2}}:\d{{2}})?)?$"
+_SPACED = rf"^({_DAY} {_TIME}(?:\.\d{{1,9}})?) (Z|[+-]\d{{2}}:\d{{2}})$"
+_NAMED = rf"^({_DAY} {_TIME}(?:\.\d{{1,9}})?) ([+-]\d{{2}})(\d{{2}}) [A-Za-z]+$"
+_SHORT = rf"^({_DAY}T{_TIME})([+-]\d{{2}})(\d{{2}})$"
+_HOURS = rf"^({_DAY} {_TIME}(?:\.\d{{1,9}})?)([+-]\d{{2}})$"
+_DOTTED = rf"^({_DAY})-(\d{{2}})\.(\d{{2}})\.(\d{{2}})\.(\d{{6}})$"
 _LAST_YEAR = 9999
 
 
@@ -62,12 +70,18 @@ def to_string(c: Column, kind: T.DataType) -> Column:
 
 
 def parse_timestamp(text: Column, lenient: bool = False) -> Column:
-    """A timestamp, years clamped: before 1 the epoch, after 9999 the year 9999. Texts of no known pattern are null, or the epoch if lenient."""
-    tried = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in TIMESTAMP_PATTERNS])
-    parsed = F.when(text.rlike(r"^\d{1,4}-\d{1,2}-\d{1,2}"), tried)
-    if lenient:
-        parsed = F.when(text.isNotNull(), F.coalesce(parsed, F.timestamp_seconds(F.lit(0))))
-    return clamp_year(parsed)
+    """A timestamp, years clamped: before 1 the epoch, after 9999 the year 9999. Texts of no known layout are null, or the epoch if lenient.
+
+    One test tells the layouts apart that a cast reads; the rest are rewritten. No formatter runs, and the parsed value
+    stands in the expression a few times only: a year out of range can but begin with 0000 or be an end of 9999."""
+    epoch = F.timestamp_seconds(F.lit(0))
+    plain = F.when(text.rlike(_ISO), text)
+    for pattern, form in ((_SPACED, "$1$2"), (_NAMED, "$1$2:$3"), (_SHORT, "$1$2:$3"), (_HOURS, "$1$2:00"), (_DOTTED, "$1 $2:$3:$4.$5")):
+        plain = plain.when(text.rlike(pattern), F.regexp_replace(text, pattern, form))
+    at = plain.try_cast("timestamp")
+    parsed = F.when(text.startswith("0000-"), F.when(at.isNotNull(), epoch))
+    parsed = parsed.when(text.startswith("9999-12-31"), F.when(F.year(at) > _LAST_YEAR, at - F.expr("interval 1 year")).otherwise(at)).otherwise(at)
+    return F.when(text.isNotNull(), F.coalesce(parsed, epoch)) if lenient else parsed
 
 
 def clamp_year(ts: Column) -> Column:

@@ -137,6 +137,25 @@ def predicate(keys: list[str], chunk: Chunk, df: DataFrame) -> Column:
     return test
 
 
+def locate(df: DataFrame, key: str, chunks: list[Chunk], name: str = "chunk") -> DataFrame:
+    """df with the number of the chunk that holds each row's numeric key; null keys have none.
+
+    Chunks are laid into bins of equal width, as many as chunks; a row is joined with the chunks of its bin alone, so
+    work grows with rows, not with rows times chunks. The table of chunks is as small as the plan."""
+    bounds = sorted(c.low for c in chunks if c.low is not None)
+    if not bounds:
+        return df.withColumn(name, F.when(F.col(key).isNotNull(), F.lit(0)))
+    low, width = bounds[0], max((bounds[-1] - bounds[0]) / len(bounds), 1e-9)
+    last = len(bounds) + 1
+    bin_of = lambda v: int(min(max((v - low) // width + 1, 0), last))
+    rows = [(b, i, c.low, c.high) for i, c in enumerate(chunks) for b in range(0 if c.low is None else bin_of(c.low), (last if c.high is None else bin_of(c.high)) + 1)]
+    kind = df.schema[key].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(rows, f"__bin int, `{name}` int, __low {kind}, __high {kind}")
+    own = F.greatest(F.lit(0), F.least(F.lit(last), F.floor((F.col(key) - low) / width) + 1)).cast("int")
+    within = (F.col("__low").isNull() | (F.col(key) >= F.col("__low"))) & (F.col("__high").isNull() | (F.col(key) < F.col("__high")))
+    return df.join(table, (own == F.col("__bin")) & within, "left").drop("__bin", "__low", "__high")
+
+
 def sql_predicate(keys: list[str], chunk: Chunk) -> str:
     """The same as text for a JDBC source's list of predicates."""
     text = lambda v: repr(v) if isinstance(v, int | float) else "'" + str(v).replace("'", "''") + "'"

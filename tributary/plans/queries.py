@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,8 +139,8 @@ def chunk_bounds_even_int(spark, sf):
 @query(_EVEN + "SELECT chunk, count(o_orderkey) AS n_rows FROM c LEFT JOIN orders ON (low IS NULL OR o_orderkey >= low) AND (high IS NULL OR o_orderkey < high) GROUP BY chunk")
 def chunk_scan_coverage(spark, sf):
     df, chunks = table(spark, sf, "orders"), _order_chunks(spark, sf)
-    cols = [F.count(F.when(K.predicate(["o_orderkey"], c, df), 1)).alias(str(i)) for i, c in enumerate(chunks)]
-    return df.agg(*cols).select(F.posexplode(F.array(*[F.col(f"`{i}`") for i in range(len(chunks))])).alias("chunk", "n_rows"))
+    counted = K.locate(df.select("o_orderkey"), "o_orderkey", chunks).groupBy("chunk").agg(F.count("o_orderkey").alias("n_rows"))
+    return _ranges(spark, chunks).select("chunk").join(counted, "chunk", "left").select("chunk", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_orderkey > 1000 OR (l_orderkey = 1000 AND l_linenumber >= 3)) AND (l_orderkey < 9000 OR (l_orderkey = 9000 AND l_linenumber < 2))")
@@ -158,17 +158,19 @@ def chunk_pk_walk(spark, sf):
 def chunk_equi_count(spark, sf):
     df = table(spark, sf, "orders")
     bounds = K.chunks_of(K.quantile_bounds(df, "o_orderkey", 8))
-    total = F.count(F.lit(1))
-    counts = df.agg(total.alias("total"), *[F.count(F.when(K.predicate(["o_orderkey"], c, df), 1)).alias(f"c{i}") for i, c in enumerate(bounds)])
-    even = sum((F.abs(F.col(f"c{i}") - F.col("total") / 8) <= 0.02 * F.col("total")).cast("long") for i in range(len(bounds)))
-    return counts.select(even.alias("even_chunks"), F.lit(len(bounds)).cast("long").alias("n_chunks"))
+    counts = K.locate(df.select("o_orderkey"), "o_orderkey", bounds).groupBy("chunk").count()
+    total = F.sum("count").over(Window.partitionBy())
+    even = F.abs(F.col("count") - total / len(bounds)) <= 0.02 * total
+    return counts.select("chunk", even.alias("even")).agg(F.count_if("even").alias("even_chunks"), F.lit(len(bounds)).cast("long").alias("n_chunks"))
 
 
-@query("SELECT count(*) AS n_rows FROM orders")
+@query("SELECT n AS n_rows, CAST(ceil(n / 2000.0) AS BIGINT) AS n_chunks, TRUE AS near_the_size FROM (SELECT count(*) AS n FROM orders)")
 def chunk_sampled_coverage(spark, sf):
-    df = table(spark, sf, "orders")
+    """Each row in one chunk, and no chunk of twice the rows that were asked for."""
+    df = table(spark, sf, "orders").select("o_orderkey")
     bounds = K.chunks_of(K.sampled_bounds(df, "o_orderkey", df.count(), 2000))
-    return df.select(sum(K.predicate(["o_orderkey"], c, df).cast("int") for c in bounds).alias("hits")).agg(F.sum("hits").alias("n_rows"))
+    counts = K.locate(df, "o_orderkey", bounds).groupBy("chunk").agg(F.count("o_orderkey").alias("n"))
+    return counts.where("chunk is not null").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_chunks"), (F.max("n") < 4000).alias("near_the_size"))
 
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT c_name) AS n_names FROM customer")
