@@ -37,35 +37,51 @@ def murmur3_long(c: Column) -> Column:
     return F.hash(F.lit(_SEED), c.cast("bigint"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), value being computed and written into the plan once, however often use refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _rotl(x: Column, r: int) -> Column:
-    low = x.bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(low, r).bitwiseOR(F.shiftrightunsigned(low, 32 - r)).bitwiseAND(F.lit(0xFFFFFFFF))
+    """Of a variable of 32 bits in a long."""
+    return F.shiftleft(x, r).bitwiseOR(F.shiftrightunsigned(x, 32 - r)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def _times(x: Column, k: int) -> Column:
-    """Product of 32-bit values modulo 2^32 in longs, by halves, so that nothing overflows."""
+    """Product of a variable of 32 bits and a number modulo 2^32 in longs, by halves, so that nothing overflows."""
     low, high = k & 0xFFFF, k >> 16
     return (x * low + F.shiftleft((x * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def _mixed(word: Column) -> Column:
+    return _let(word, lambda w: _let(_times(w, 0xCC9E2D51), lambda x: _let(_rotl(x, 15), lambda y: _times(y, 0x1B873593))))
+
+
 def murmur3_text(c: Column) -> Column:
     """murmur3 with seed 0 of a text's bytes, folded over them natively, since Spark's own hash treats the tail otherwise."""
-    h = F.hex(c)
-    n = F.octet_length(c)
-    byte = lambda i: F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
-    word = lambda i: byte(i).bitwiseOR(F.shiftleft(byte(i + 1), 8)).bitwiseOR(F.shiftleft(byte(i + 2), 16)).bitwiseOR(F.shiftleft(byte(i + 3), 24))
-    mix = lambda k: _times(_rotl(_times(k, 0xCC9E2D51), 15), 0x1B873593)
-    blocks = F.floor(n / 4).cast("int")
-    body = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
-    state = F.aggregate(body, F.lit(0).cast("bigint"), lambda a, i: (_times(_rotl(a.bitwiseXOR(mix(word(i * 4))), 13), 5) + 0xE6546B64).bitwiseAND(F.lit(0xFFFFFFFF)))
-    tail_at, left = blocks * 4, n - blocks * 4
-    tail = F.when(left >= 1, byte(tail_at)).otherwise(0) + F.when(left >= 2, F.shiftleft(byte(tail_at + 1), 8)).otherwise(0) + F.when(left >= 3, F.shiftleft(byte(tail_at + 2), 16)).otherwise(0)
-    state = F.when(left > 0, state.bitwiseXOR(mix(tail))).otherwise(state)
-    x = state.bitwiseXOR(n.cast("bigint"))
-    for shift, k in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        x = _times(x.bitwiseXOR(F.shiftrightunsigned(x, shift)), k)
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 16))
-    return F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x).cast("int")
+
+    def of_bytes(raw: Column) -> Column:  # the text's bytes as hexadecimal digits
+        n = F.length(raw) / 2
+        byte = lambda i: F.conv(F.substring(raw, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint")
+        word = lambda i: F.conv(F.concat(*[F.substring(raw, (2 * (i + k) + 1).cast("int"), F.lit(2)) for k in (3, 2, 1, 0)]), 16, 10).cast("bigint")
+        blocks = F.floor(n / 4).cast("int")
+        body = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
+        step = lambda a, i: _let(a.bitwiseXOR(_mixed(word(i * 4))), lambda x: _let(_rotl(x, 13), lambda y: (_times(y, 5) + 0xE6546B64).bitwiseAND(F.lit(0xFFFFFFFF))))
+        state = F.aggregate(body, F.lit(0).cast("bigint"), step)
+        left = F.pmod(n, F.lit(4)).cast("int")
+        at = (n - left).cast("int")
+        tail = F.when(left >= 1, byte(at)).otherwise(0) + F.when(left >= 2, F.shiftleft(byte(at + 1), 8)).otherwise(0) + F.when(left >= 3, F.shiftleft(byte(at + 2), 16)).otherwise(0)
+        return _last(state.bitwiseXOR(_mixed(tail)).bitwiseXOR(n.cast("bigint")))
+
+    return _let(F.hex(c), of_bytes)
+
+
+def _last(x: Column) -> Column:
+    """The end of murmur3: two rounds of shifts and products, and a sign."""
+    fold = lambda v, shift: v.bitwiseXOR(F.shiftrightunsigned(v, shift))
+    first = _let(x, lambda v: _let(fold(v, 16), lambda w: _times(w, 0x85EBCA6B)))
+    second = _let(first, lambda v: _let(fold(v, 13), lambda w: _times(w, 0xC2B2AE35)))
+    return _let(second, lambda v: _let(fold(v, 16), lambda w: F.when(w >= 1 << 31, w - (1 << 32)).otherwise(w).cast("int")))
 
 
 def bucket(c: Column, kind: T.DataType, n: int) -> Column:
@@ -90,7 +106,7 @@ def parse_spec(spec: str) -> list[tuple[str, str, int]]:
     out = []
     for column, text in found:
         name, _, arg = text.partition("[")
-        if name not in ("identity", "year", "month", "day", "hour", "bucket", "truncate") or (name in ("bucket", "truncate")) != bool(arg):
+        if name not in ("identity", "void", "year", "month", "day", "hour", "bucket", "truncate") or (name in ("bucket", "truncate")) != bool(arg):
             raise ValueError(f"an unknown transform: {text}")
         out.append((INGESTED_AT if column.strip() == "now()" else column.strip(), name, int(arg[:-1]) if arg else 0))
     return out
@@ -103,13 +119,19 @@ def transform(df: DataFrame, column: str, name: str, arg: int = 0) -> Column:
         if not isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
             raise ValueError(f"{name} needs a time; {column} is {kind.simpleString()}")
         return by_time[name](c)
+    if name == "void":  # always null: one partition
+        return F.lit(None).cast("string")
     return c if name == "identity" else bucket(c, kind, arg) if name == "bucket" else truncate(c, kind, arg)
 
 
+def partition_name(column: str, name: str) -> str:
+    """The name of a partition field: the column, with what its transform adds."""
+    return column + {"identity": "", "bucket": "_bucket", "truncate": "_trunc", "void": "_null"}.get(name, f"_{name}")
+
+
 def partition_path(df: DataFrame, spec: str) -> Column:
     """field=value/... with values escaped as in URLs, null for nulls."""
-    suffix = {"identity": "", "bucket": "_bucket", "truncate": "_trunc"}
-    return F.concat_ws("/", *[F.concat(F.lit(f"{c}{suffix.get(t, '_' + t)}="), F.coalesce(F.url_encode(transform(df, c, t, a).cast("string")), F.lit("null"))) for c, t, a in parse_spec(spec)])
+    return F.concat_ws("/", *[F.concat(F.lit(f"{partition_name(c, t)}="), F.coalesce(F.url_encode(transform(df, c, t, a).cast("string")), F.lit("null"))) for c, t, a in parse_spec(spec)])
 
 
 def path_template(df: DataFrame, template: str) -> Column:

@@ -56,6 +56,10 @@ class Source(ABC):
     def scan(self, stream: Stream, chunk: Chunk) -> DataFrame:
         return scan(self.table(stream), stream.primary_key or [self.table(stream).columns[0]], chunk)
 
+    def scan_many(self, stream: Stream, chunks: list[Chunk]) -> DataFrame:
+        """Consecutive chunks as one scan: from where the first begins to where the last ends."""
+        return self.scan(stream, Chunk(chunks[0].low, chunks[-1].high))
+
     def max_cursor(self, stream: Stream, cursors: list[str]) -> dict:
         return maxima(self.table(stream), cursors).head().asDict()
 

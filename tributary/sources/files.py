@@ -82,6 +82,9 @@ class FileSource(Source):
     def scan(self, stream: Stream, chunk: Chunk) -> DataFrame:
         return self.read(stream, list(chunk.low)) if chunk.low else self.table(stream)
 
+    def scan_many(self, stream: Stream, chunks: list[Chunk]) -> DataFrame:
+        return self.scan(stream, Chunk(tuple(path for c in chunks for path in c.low or ())))
+
     def table(self, stream: Stream) -> DataFrame:
         return self.read(stream, self._paths(stream))
 

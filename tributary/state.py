@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 from dataclasses import dataclass, field
 
+import pyarrow.fs as pafs
+
 VERSION = 7
 
 
@@ -19,21 +22,28 @@ class State:
     finished: set[str] = field(default_factory=set)
     streams: dict[str, dict] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self._lock = threading.RLock()  # streams are synced side by side
+
     @classmethod
     def load(cls, path: str) -> State:
-        if not os.path.exists(path):
+        """From a local path, or a URI of any file system that Arrow reaches, so that a driver can move."""
+        fs, where = _file_system(path)
+        if fs.get_file_info(where).type == pafs.FileType.NotFound:
             return cls(path)
-        with open(path) as f:
-            raw = json.load(f)
+        with fs.open_input_stream(where) as f:
+            raw = json.loads(f.read())
         return cls(path, raw.get("version", 0), raw.get("position"), set(raw.get("finished", [])), raw.get("streams", {}))
 
     def save(self) -> None:
         if self.path is None:
             return
-        kept = {k: v for k, v in self.streams.items() if v.get("cursor") or v.get("chunks") is not None}
-        with open(f"{self.path}.new", "w") as f:
-            json.dump({"version": self.version, "position": self.position, "finished": sorted(self.finished), "streams": kept}, f)
-        os.replace(f"{self.path}.new", self.path)
+        with self._lock:
+            kept = {k: v for k, v in self.streams.items() if v.get("cursor") or v.get("chunks") is not None}
+            fs, where = _file_system(self.path)
+            with fs.open_output_stream(f"{where}.new") as f:
+                f.write(json.dumps({"version": self.version, "position": self.position, "finished": sorted(self.finished), "streams": kept}).encode())
+            fs.move(f"{where}.new", where)
 
     def cursor(self, stream: str, name: str):
         return self.streams.get(stream, {}).get("cursor", {}).get(name)
@@ -50,8 +60,13 @@ class State:
         self.save()
 
     def remove_chunk(self, stream: str, chunk) -> None:
-        left = self.streams.get(stream, {}).get("chunks") or []
-        self.streams[stream]["chunks"] = [c for c in left if list(c) != list(chunk)]
+        self.remove_chunks(stream, [chunk])
+
+    def remove_chunks(self, stream: str, chunks: list) -> None:
+        done = [list(c) for c in chunks]
+        with self._lock:
+            left = self.streams.get(stream, {}).get("chunks") or []
+            self.streams[stream]["chunks"] = [c for c in left if list(c) not in done]
         self.save()
 
     def set_position(self, position: dict, *finished: str) -> None:
@@ -68,3 +83,7 @@ class State:
         if self.position is not None:
             self.position.pop(stream, None)
         self.save()
+
+
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))

@@ -7,13 +7,17 @@ has and the state lacks is adopted, not applied again.
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary import types as S
 from tributary.catalog import CDC, FULL_REFRESH, INCREMENTAL, STRICT_CDC, Catalog, Configured, Stream, classify
+from tributary.functions import transforms
 from tributary.functions.rowid import OP_TYPE, UPDATE, envelope
 from tributary.operators import filters, flatten, project
+from tributary.operators.chunks import Chunk
 from tributary.operators.cursors import threshold
 from tributary.operators.merge import write_mode
 from tributary.sinks.table import Table
@@ -23,8 +27,9 @@ from tributary.streaming.changes import stamp
 
 
 class Sync:
-    def __init__(self, spark: SparkSession, source: Source, destination: str, state: State, *, ingested_at: dt.datetime | None = None, strict: bool = True):
+    def __init__(self, spark: SparkSession, source: Source, destination: str, state: State, *, ingested_at: dt.datetime | None = None, strict: bool = True, chunks_per_commit: int = 16, streams_at_once: int = 4):
         self.spark, self.source, self.destination, self.state, self.ingested_at, self.strict = spark, source, destination, state, ingested_at, strict
+        self.chunks_per_commit, self.streams_at_once = chunks_per_commit, streams_at_once
 
     def table(self, stream: Stream) -> Table:
         return Table(self.spark, f"{self.destination}/{stream.destination_table or stream.id.replace('.', '__')}", strict=self.strict)
@@ -33,12 +38,11 @@ class Sync:
         """Sync all valid selected streams; returns why others were left out."""
         streams = {s.id: s for s in catalog.streams}
         modes, skipped = classify(catalog, self._check)
-        for c in modes[FULL_REFRESH]:
-            self.full_refresh(c, streams[c.id])
-        for c in modes[INCREMENTAL]:
-            self.incremental(c, streams[c.id])
-        for c in (*modes[CDC], *modes[STRICT_CDC]):
-            self.changes(c, streams[c.id])
+        steps = {FULL_REFRESH: self.full_refresh, INCREMENTAL: self.incremental, CDC: self.changes, STRICT_CDC: self.changes}
+        for mode in (FULL_REFRESH, INCREMENTAL, CDC, STRICT_CDC):
+            with ThreadPoolExecutor(self.streams_at_once) as pool:  # each stream has a table of its own
+                for done in [pool.submit(steps[mode], c, streams[c.id]) for c in modes[mode]]:
+                    done.result()
         return skipped
 
     def _check(self, c: Configured, s: Stream) -> None:
@@ -58,26 +62,32 @@ class Sync:
         renamed = project.destination_names([n for n in df.columns if n not in own], c.use_source_column_names)
         return df.select(*[df[f"`{n}`"].alias(renamed.get(n, n)) for n in df.columns])
 
+    @staticmethod
+    def _partition(c: Configured) -> str | None:
+        """The stream's partition specification under the names that its columns have at the destination."""
+        if not c.partition:
+            return None
+        name = lambda n: n if c.use_source_column_names or n.startswith("_") else S.reformat(n)
+        return "".join(f"/{{{name(column)}, {how}{f'[{arg}]' if arg else ''}}}" for column, how, arg in transforms.parse_spec(c.partition))
+
     def full_refresh(self, c: Configured, s: Stream) -> None:
         """All rows in place of what was there, in one commit: readers see the old table until it is done."""
         self.state.reset(s.id)
         rows = self._land(envelope(self._shape(self.source.table(s), c, s), s.primary_key, ingested_at=self.ingested_at), c, s)
-        self.table(s).commit(rows, batch_id=f"{s.id}_full", replace=True)
+        self.table(s).commit(rows, batch_id=f"{s.id}_full", replace=True, partition=self._partition(c))
 
     def backfill(self, c: Configured, s: Stream, bounds: dict | None = None) -> None:
-        """The chunks that are left, each committed under an id of its own."""
+        """The chunks that are left, some consecutive ones at a time, committed under an id of their own."""
         if self.state.chunks(s.id) is None:
             self.state.set_chunks(s.id, [(x.low, x.high) for x in self.source.chunks(s)])
-        from tributary.operators.chunks import Chunk
-
-        table = self.table(s)
-        for low, high in list(self.state.chunks(s.id)):
-            rows = self.source.scan(s, Chunk(low, high))
+        table, left = self.table(s), list(self.state.chunks(s.id))
+        for group in (left[i : i + self.chunks_per_commit] for i in range(0, len(left), self.chunks_per_commit)):
+            rows = self.source.scan_many(s, [Chunk(low, high) for low, high in group])
             if bounds:
                 rows = rows.where(threshold(bounds))
             rows = self._land(envelope(self._shape(rows, c, s), s.primary_key, ingested_at=self.ingested_at), c, s)
-            table.commit(rows, batch_id=f"{s.id}_min[{low}]-max[{high}]", mode="append", dedup_inserts=True)
-            self.state.remove_chunk(s.id, (low, high))
+            table.commit(rows, batch_id=f"{s.id}_min[{group[0][0]}]-max[{group[-1][1]}]", mode="append", dedup_inserts=True, partition=self._partition(c))
+            self.state.remove_chunks(s.id, group)
 
     def incremental(self, c: Configured, s: Stream) -> None:
         """The first time: maxima, then a backfill up to them. Later: rows past the cursor and up to the new maxima, as updates."""
@@ -99,7 +109,7 @@ class Sync:
         new = {k: max(as_text(top)[k], last[k]) if top[k] is not None and last[k] is not None else (as_text(top)[k] if top[k] is not None else last[k]) for k in cursors}
         landed = self._land(envelope(rows, s.primary_key, UPDATE, self.ingested_at), c, s)
         mode = write_mode(False, c.append_mode, True)
-        table.commit(landed, batch_id=f"{s.id}_{new}", mode=mode, order=[n for n in (cursors[0],) if n in landed.columns] or None, position={"cursor": new})
+        table.commit(landed, batch_id=f"{s.id}_{new}", mode=mode, order=[n for n in (cursors[0],) if n in landed.columns] or None, position={"cursor": new}, partition=self._partition(c))
         self.state.set_cursor(s.id, **new)
 
     def changes(self, c: Configured, s: Stream) -> None:
@@ -128,7 +138,7 @@ class Sync:
             from tributary.operators.merge import latest
 
             stamped = latest(stamped, ["__position"])
-        table.commit(self._land(stamped, c, s), batch_id=f"{s.id}_{own}_{end}", mode=mode, order=[OP_TYPE], position={"log": end}, dedup_inserts=False)
+        table.commit(self._land(stamped, c, s), batch_id=f"{s.id}_{own}_{end}", mode=mode, order=[OP_TYPE], position={"log": end}, dedup_inserts=False, partition=self._partition(c))
         self.state.set_position((self.state.position or {}) | {s.id: end}, s.id)
 
     def clear(self, catalog: Catalog) -> None:
