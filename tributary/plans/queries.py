@@ -375,32 +375,43 @@ def partition_truncate_text(spark, sf):
     return df.select("c_custkey", P.truncate(F.col("c_name"), df.schema["c_name"].dataType, 4).alias("p"))
 
 
-def _murmur_sql(column: str, source: str, n: int) -> str:
-    """murmur3 of a long's two words, in HUGEINT arithmetic."""
+def _murmur_sql(select: str, words: list[str], length: int, n: int, tail: str | None = None) -> str:
+    """murmur3 of words of 32 bits and a shorter tail, given as SQL, in HUGEINT arithmetic; the bucket is p."""
     mask = "4294967295::HUGEINT"
-    word = lambda i: f"(({column}::HUGEINT + CASE WHEN {column} < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // {1 << 32 * i}::HUGEINT) % 4294967296::HUGEINT"
-    steps = [f"SELECT {column}, {word(0)} AS w0, {word(1)} AS w1, 0::HUGEINT AS h FROM {source}"]
     rot = lambda x, r: f"((({x}) * {1 << r}::HUGEINT) & {mask}) | (({x}) // {1 << (32 - r)}::HUGEINT)"
-    for i in range(2):
+    every = [*words, *([tail] if tail else [])]
+    steps = [f"{select.replace(' FROM ', ', ' + ', '.join(f'({w})::HUGEINT AS w{i}' for i, w in enumerate(every)) + ', 0::HUGEINT AS h FROM ', 1)}"]
+    for i in range(len(every)):
         steps.append(f"SELECT *, (w{i} * 3432918353::HUGEINT) & {mask} AS a{i} FROM ({steps[-1]})")
         steps.append(f"SELECT *, (({rot(f'a{i}', 15)}) * 461845907::HUGEINT) & {mask} AS b{i} FROM ({steps[-1]})")
         steps.append(f"SELECT * REPLACE (xor(h, b{i}) AS h) FROM ({steps[-1]})")
-        steps.append(f"SELECT * REPLACE (((({rot('h', 13)}) * 5) + 3864292196::HUGEINT) & {mask} AS h) FROM ({steps[-1]})")
-    steps.append(f"SELECT * REPLACE (xor(h, 8::HUGEINT) AS h) FROM ({steps[-1]})")
+        if i < len(words):
+            steps.append(f"SELECT * REPLACE (((({rot('h', 13)}) * 5) + 3864292196::HUGEINT) & {mask} AS h) FROM ({steps[-1]})")
+    steps.append(f"SELECT * REPLACE (xor(h, {length}::HUGEINT) AS h) FROM ({steps[-1]})")
     for shift, k in ((16, 2246822507), (13, 3266489909), (16, 1)):
         steps.append(f"SELECT * REPLACE (((xor(h, h // {1 << shift}::HUGEINT)) * {k}::HUGEINT) & {mask} AS h) FROM ({steps[-1]})")
-    return f"SELECT {column}, CAST((h & 2147483647::HUGEINT) % {n} AS INTEGER) AS p FROM ({steps[-1]})"
+    own = select.split(" FROM ")[0].removeprefix("SELECT ")
+    return f"SELECT {own}, CAST((h & 2147483647::HUGEINT) % {n} AS INTEGER) AS p FROM ({steps[-1]})"
 
 
-@query(_murmur_sql("o_orderkey", "orders", 16))
+def _long_words(column: str) -> list[str]:
+    return [f"(({column}::HUGEINT + CASE WHEN {column} < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // {1 << 32 * i}::HUGEINT) % 4294967296::HUGEINT" for i in range(2)]
+
+
+def _text_words(column: str, length: int) -> list[str]:
+    """Words of a text of so many ASCII characters, the last one the shorter tail."""
+    return [" + ".join(f"ascii(substr({column}, {i + k + 1}, 1))::HUGEINT * {1 << 8 * k}" for k in range(min(4, length - i))) for i in range(0, length, 4)]
+
+
+@query(_murmur_sql("SELECT o_orderkey FROM orders", _long_words("o_orderkey"), 8, 16))
 def partition_bucket_long(spark, sf):
     df = table(spark, sf, "orders")
     return df.select("o_orderkey", P.bucket(F.col("o_orderkey"), df.schema["o_orderkey"].dataType, 16).alias("p"))
 
 
-@query()
+@query(_murmur_sql("SELECT c_custkey FROM customer", _text_words("substr(c_name, 1, 18)", 18)[:-1], 18, 16, _text_words("substr(c_name, 1, 18)", 18)[-1]))
 def partition_bucket_text(spark, sf):
-    df = table(spark, sf, "customer")
+    df = table(spark, sf, "customer").select("c_custkey", F.substring("c_name", 1, 18).alias("c_name"))
     return df.select("c_custkey", P.bucket(F.col("c_name"), df.schema["c_name"].dataType, 16).alias("p"))
 
 
@@ -561,3 +572,6 @@ def message_decode(spark, sf):
     body = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 5 == 0, F.lit("not json")).otherwise(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))))
     messages = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), body.alias("value"), (F.col("user_id") % 4).alias("partition"), F.col("event_id").alias("offset"), F.col("ts").alias("timestamp"))
     return decode_json(messages, "id bigint, kind string")[0].select("id", "kind", "_kafka_partition", "_kafka_offset")
+
+
+from tributary.plans import sync_queries  # noqa: E402, F401  registers its queries
