@@ -317,3 +317,32 @@ def test_partitioned_sync(spark, source, tmp_path):
     assert {(r.k, r.v) for r in sync.table(source.discover()[0]).read().collect()} == {(1, "007"), (2, ""), (3, None), (4, "a/b")}
     dirs = {d.split("=")[0] for _, names, _ in os.walk(tmp_path / "out/t/data") for d in names if "=" in d}
     assert dirs == {"__p0_v", "__p1_k_bucket", "__p2__ingested_at_day"}
+
+
+def test_files_skip_rows(spark, tmp_path):
+    """Lines before the header go, once for each file, though a line like one of them comes again among the rows."""
+    (tmp_path / "f/s").mkdir(parents=True)
+    (tmp_path / "f/s/a.csv").write_text("made by hand\n1,x\nid,v\n1,x\n1,x\n2,\"y,z\"\n")
+    with gzip.open(tmp_path / "f/s/b.csv.gz", "wt") as f:
+        f.write("another line\nsecond\nv,id\nw,3\n")
+    source = FileSource(spark, {"path": str(tmp_path / "f"), "format": "csv", "skip_rows": 2, "prefer_long": True})
+    (s,) = source.discover()
+    assert s.schema["id"] == "integer" and sorted((r.id, r.v) for r in source.table(s).collect()) == [(1, "x"), (1, "x"), (2, "y,z"), (3, "w")]
+
+
+def test_jdbc_plans(spark, monkeypatch):
+    """Chunks and predicates of a relational source, with a table in place of its connection."""
+    from tributary.catalog import Stream, default_mode
+    from tributary.operators.chunks import Chunk
+    from tributary.sources.jdbc import JdbcSource
+
+    keyed, keyless = Stream("t", "s", {}, ["full_refresh", "incremental"], ["k"], ["k"]), Stream("t", "s", {}, ["full_refresh"])
+    source = JdbcSource(spark, {"dialect": "postgres", "url": "jdbc:postgresql://none", "chunk_rows": 40})
+    monkeypatch.setattr(source, "table", lambda s: spark.range(100).selectExpr("id as k", "id * 3 as c"))
+    assert source.predicates(keyed, source.chunks(keyed)) == ["NOT ((k >= 40))", "((k >= 40)) AND NOT ((k >= 80))", "((k >= 80))"]
+    source.config["chunk_column"] = "c"
+    assert source.predicates(keyed, source.chunks(keyed))[0] == "NOT ((c >= 120))"
+    del source.config["chunk_column"]
+    monkeypatch.setattr(source, "_page_chunks", lambda s: [Chunk(None, "(262144,0)"), Chunk("(262144,0)", None)])
+    assert source.predicates(keyless, source.chunks(keyless)) == ["NOT ((ctid >= '(262144,0)'))", "((ctid >= '(262144,0)'))"]
+    assert default_mode(keyed).sync_mode == "incremental"

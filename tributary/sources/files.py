@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 import re
+from collections import Counter
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +110,33 @@ class FileSource(Source):
         cell = lambda n: F.when((F.col(f"`{n}`") != "") & (F.lower(F.col(f"`{n}`")) != "null"), F.col(f"`{n}`")) if n in raw.columns else F.lit(None).cast("string")
         return raw.select(*[coerce(cell(n), T.StringType(), t).alias(n) for n, t in kinds.items()], F.col(MODIFIED))
 
+    def _first_lines(self, path: str, n: int) -> list[str]:
+        """The first n lines of a plain or gzip file."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        stream = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+        try:
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(jvm.java.util.zip.GZIPInputStream(stream) if path.endswith(".gz") else stream, "UTF-8"))
+            found = []
+            while len(found) < n and (line := lines.readLine()) is not None:
+                found.append(line)
+            return found
+        finally:
+            stream.close()
+
+    def _after_skipped(self, paths: list[str]) -> DataFrame:
+        """The lines of files as one column, without the rows to skip and the header of each.
+
+        Of lines that are equal to a skipped one of their file, as many go as were skipped: it makes no difference which."""
+        n = self.config["skip_rows"] + int(self.config.get("has_header", True))
+        gone = Counter((path, line) for path in paths for line in self._first_lines(path, n))
+        table = self.spark.createDataFrame([(p, line, k) for (p, line), k in gone.items()], "__file string, __line string, __n int")
+        lines = self.spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("__path"), modified_column().alias(MODIFIED))
+        marked = lines.join(F.broadcast(table), (F.col("__path") == F.col("__file")) & (F.col("value") == F.col("__line")), "left")  # n lines of each file
+        nth = F.row_number().over(Window.partitionBy("__path", "value").orderBy(F.lit(1)))
+        kept = marked.where("__n is not null").withColumn("nth", nth).where("nth > __n").drop("nth")
+        return marked.where("__n is null").unionByName(kept).where("value <> ''").select("value", MODIFIED)
+
     def _first_line(self, path: str) -> str:
         """The first line of a plain or gzip file that isn't blank."""
         jvm = self.spark.sparkContext._jvm
@@ -130,8 +159,20 @@ class FileSource(Source):
             out = self.spark.read.option("sep", c.get("delimiter", ",")).option("header", header).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
             return out.option("multiLine", True) if c.get("multi_line") else out
 
+        if c.get("skip_rows") and c.get("multi_line"):
+            raise ValueError("rows can't be skipped in files whose cells have line breaks")
+        options = {"sep": c.get("delimiter", ","), "quote": '"', "escape": '"'}
+
+        def columns_after(path: str) -> tuple[str, ...]:
+            """The columns of a file below the rows to skip."""
+            line = (self._first_lines(path, c["skip_rows"] + 1)[c["skip_rows"] :] or [""])[0]
+            cells = next(csv.reader([line], delimiter=options["sep"]), [])
+            return tuple(n if header else f"column_{i}" for i, n in enumerate(cells))
+
         def columns(every: list[str]) -> dict[str, tuple[str, ...]]:
             """The columns of each file; files with the same first line are looked at once, unless a header can go on in the next line."""
+            if c.get("skip_rows"):
+                return {path: columns_after(path) for path in every}
             alike: dict[str, list[str]] = {}
             for path in every:
                 alike.setdefault(path if c.get("multi_line") else self._first_line(path), []).append(path)
@@ -150,7 +191,10 @@ class FileSource(Source):
             out = None
             for names, group in groups.items():
                 schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-                part = reader().schema(schema).csv(group).select("*", modified_column().alias(MODIFIED))
+                if c.get("skip_rows"):
+                    part = self._after_skipped(group).select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names), options).alias("r"), MODIFIED).select("r.*", MODIFIED)
+                else:
+                    part = reader().schema(schema).csv(group).select("*", modified_column().alias(MODIFIED))
                 out = part if out is None else out.unionByName(part, allowMissingColumns=True)
             return out
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tributary import types as S
-from tributary.catalog import CDC, FULL_REFRESH, INCREMENTAL, Stream
+from tributary.catalog import FULL_REFRESH, INCREMENTAL, Stream
 from tributary.operators import chunks as K
 from tributary.sources.base import Source, register
 
@@ -24,9 +24,9 @@ TABLES = {
     "db2": "SELECT tabschema AS s, tabname AS t FROM syscat.tables WHERE type = 'T' AND tabschema NOT LIKE 'SYS%'",
 }
 KEYS = {
-    "postgres": "SELECT kc.table_schema AS s, kc.table_name AS t, kc.column_name AS c FROM information_schema.table_constraints tc JOIN information_schema.key_column_usage kc ON kc.constraint_name = tc.constraint_name AND kc.table_schema = tc.table_schema WHERE tc.constraint_type = 'PRIMARY KEY'",
-    "oracle": "SELECT cc.owner AS s, cc.table_name AS t, cc.column_name AS c FROM all_constraints k JOIN all_cons_columns cc ON cc.constraint_name = k.constraint_name AND cc.owner = k.owner WHERE k.constraint_type = 'P'",
-    "db2": "SELECT tabschema AS s, tabname AS t, colname AS c FROM syscat.keycoluse",
+    "postgres": "SELECT kc.table_schema AS s, kc.table_name AS t, kc.column_name AS c FROM information_schema.table_constraints tc JOIN information_schema.key_column_usage kc ON kc.constraint_name = tc.constraint_name AND kc.table_schema = tc.table_schema WHERE tc.constraint_type = 'PRIMARY KEY' ORDER BY kc.ordinal_position",
+    "oracle": "SELECT cc.owner AS s, cc.table_name AS t, cc.column_name AS c FROM all_constraints k JOIN all_cons_columns cc ON cc.constraint_name = k.constraint_name AND cc.owner = k.owner WHERE k.constraint_type = 'P' ORDER BY cc.position",
+    "db2": "SELECT tabschema AS s, tabname AS t, colname AS c FROM syscat.keycoluse ORDER BY colseq",
 }
 KEYS["mysql"] = KEYS["mssql"] = KEYS["postgres"]
 
@@ -53,7 +53,7 @@ class JdbcSource(Source):
             keys.setdefault((r[0], r[1]), []).append(r[2])
         out = []
         for space, name in (tuple(r) for r in self._reader().option("query", TABLES[self.config["dialect"]]).load().collect()):
-            s = Stream(name, space, {}, [FULL_REFRESH, INCREMENTAL, CDC], keys.get((space, name), []))
+            s = Stream(name, space, {}, [FULL_REFRESH, INCREMENTAL], keys.get((space, name), []))  # logs are read from recorded events (streaming.logs)
             s.schema = {f.name: S.from_spark(f.dataType) for f in self.table(s).schema}
             s.cursor_candidates = sorted(s.schema)
             out.append(s)
@@ -62,10 +62,18 @@ class JdbcSource(Source):
     def table(self, stream: Stream) -> DataFrame:
         return self._reader().option("dbtable", stream.id).load()
 
+    def _chunk_keys(self, stream: Stream) -> list[str]:
+        """What the table is cut by: the chosen column, else the key, else the system's own row address where it has an order."""
+        if c := self.config.get("chunk_column"):
+            return [c]
+        return stream.primary_key or ([ROW_ADDRESS["postgres"]] if self.config["dialect"] == "postgres" else [])
+
     def chunks(self, stream: Stream) -> list[K.Chunk]:
-        key, rows = stream.primary_key, self.config.get("chunk_rows", 1_000_000)
+        key, rows = self._chunk_keys(stream), self.config.get("chunk_rows", 1_000_000)
         if not key:
             return [K.Chunk()]
+        if key == [ROW_ADDRESS["postgres"]]:
+            return self._page_chunks(stream)
         df = self.table(stream)
         low, high, n = df.selectExpr(f"min({key[0]})", f"max({key[0]})", "count(*)").head()
         if n and len(key) == 1 and isinstance(low, int):
@@ -75,8 +83,23 @@ class JdbcSource(Source):
                 pass
         return K.chunks_of([tuple(r[1:]) for r in K.every_nth_key(df, key, rows).collect()]) if n else [K.Chunk()]
 
-    def all_chunks(self, stream: Stream) -> DataFrame:
-        """All chunks as the partitions of one scan."""
+    def _page_chunks(self, stream: Stream) -> list[K.Chunk]:
+        """Ranges of the pages of a table without a key; the last one is open, so pages that come later are in it."""
+        size = f"SELECT current_setting('block_size')::int AS size, (pg_relation_size('{stream.id}') / current_setting('block_size')::int)::bigint AS pages"
+        block, pages = self._reader().option("query", size).load().head()
+        at = lambda page: None if page is None else f"({page},0)"
+        return [K.Chunk(at(c.low), at(c.high)) for c in K.pages(int(block), int(pages))]
+
+    def predicates(self, stream: Stream, chunks: list[K.Chunk]) -> list[str]:
+        return [K.sql_predicate(self._chunk_keys(stream), c) for c in chunks]
+
+    def scan(self, stream: Stream, chunk: K.Chunk) -> DataFrame:
+        return self.scan_many(stream, [chunk])
+
+    def scan_many(self, stream: Stream, chunks: list[K.Chunk]) -> DataFrame:
+        """Chunks as the partitions of one scan, each read by a query of its own."""
         c = self.config
-        predicates = [K.sql_predicate(stream.primary_key, x) for x in self.chunks(stream)] if stream.primary_key else None
-        return self.spark.read.jdbc(c["url"], stream.id, predicates=predicates, properties={"user": c.get("user", ""), "password": c.get("password", ""), "driver": DRIVERS[c["dialect"]]}) if predicates else self.table(stream)
+        if not self._chunk_keys(stream):
+            return self.table(stream)
+        properties = {"user": c.get("user", ""), "password": c.get("password", ""), "driver": DRIVERS[c["dialect"]], "fetchsize": str(c.get("fetch_size", 10_000))}
+        return self.spark.read.jdbc(c["url"], stream.id, predicates=self.predicates(stream, chunks), properties=properties)
