@@ -12,7 +12,8 @@ line's number in that sequence, a suffix begins at each place.
    its first and of its last 2^k lines. For each place that has an earlier equal at level k, lengths are tried bit by
    bit, from the largest: all suffixes of the place's interval are keyed at the length in question, and the length
    stands if one of equal key begins earlier. What remains is the longest prefix that occurs at an earlier place: the
-   depth of the innermost interval in which the suffix isn't the first, hence a later copy that is maximal to the right.
+   depth of the innermost interval in which the suffix isn't the first, hence a later copy that is maximal to the right
+   (``maximal_runs`` lists them; a deduplication needs only the longest of each document).
 3. A later copy is deleted if it has at least ``min_lines`` lines, or is a line of at least ``min_chars`` characters.
    The first copy of each run stays.
 
@@ -78,32 +79,55 @@ def ranks(documents: DataFrame) -> tuple[list[DataFrame], list[str]]:
         key = ["r1", "r2"]
 
 
-def later_runs(documents: DataFrame) -> tuple[DataFrame, str]:
-    """d, k, p, size, lines, copies: for each place, the longest run from it that an earlier place begins too, its lines and how often it occurs."""
-    spark = documents.sparkSession
-    levels, paths = ranks(documents)
-    every = None
+def _every(levels: list[DataFrame]) -> DataFrame:
+    out = None
     for i, level in enumerate(levels):
         level = level.withColumn("level", F.lit(i))
-        every = level if every is None else every.unionByName(level)
-    # the deepest level at which an earlier place is equal
+        out = level if out is None else out.unionByName(level)
+    return out
+
+
+def _deepest(every: DataFrame) -> DataFrame:
+    """Of each place that has an earlier equal: the deepest level at which it has one."""
     top = every.where("later").groupBy(*_PLACE).agg(F.max(F.struct("level", "r", "n", "size")).alias("x"))
-    run = F.expr("shiftleft(1, x.level)").alias("lines")
-    state, state_at = stage(top.select(*_PLACE, "x.level", "x.r", "x.size", run, F.col("x.n").alias("copies")), "line-runs")
+    return top.select(*_PLACE, "x.level", "x.r", "x.size", F.expr("shiftleft(1, x.level)").alias("lines"), F.col("x.n").alias("copies"))
+
+
+def _keyed(every: DataFrame, asked: DataFrame) -> DataFrame:
+    """The members of some intervals (level, r) with the rank r2 at that level of the place ``off`` lines on: the key of a prefix of 2^level + off lines."""
     members = every.select("level", *_PLACE, "r")
-    for bit in reversed(range(max(0, len(levels) - 2))):
+    ahead = members.select("level", "d", "k", F.col("p").alias("at"), F.col("r").alias("r2"))
+    return members.join(asked, ["level", "r"]).withColumn("at", F.col("p") + F.col("off")).join(ahead, ["level", "d", "k", "at"]).select("level", "r", "off", "r2", *_PLACE)
+
+
+def _with_earlier(keyed: DataFrame) -> DataFrame:
+    """Places with an earlier one of equal key, and how many have the key."""
+    key = ["level", "r", "off", "r2"]
+    firsts = keyed.groupBy(*key).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(firsts, key).where(F.struct(*_PLACE) > F.col("first")).select("level", *_PLACE, "off", "n")
+
+
+def _lengthened(spark, every: DataFrame, state: DataFrame, n_levels: int) -> tuple[DataFrame, str]:
+    """The places of state with the lines that their longest runs have, found bit by bit."""
+    state, state_at = stage(state, "line-runs")
+    for bit in reversed(range(max(0, n_levels - 2))):
         off = F.col("lines") + (1 << bit) - F.expr("shiftleft(1, level)")
         asked = state.where(F.col("level") > bit).select("level", "r", off.alias("off")).distinct()
-        ahead = members.select("level", "d", "k", F.col("p").alias("at"), F.col("r").alias("r2"))
-        keyed = members.where(F.col("level") > bit).join(asked, ["level", "r"]).withColumn("at", F.col("p") + F.col("off")).join(ahead, ["level", "d", "k", "at"])
-        keyed, keyed_at = stage(keyed.select("level", "r", "off", "r2", *_PLACE), "line-keys")
-        firsts = keyed.groupBy("level", "r", "off", "r2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
-        longer = keyed.join(firsts, ["level", "r", "off", "r2"]).where(F.struct(*_PLACE) > F.col("first")).select("level", *_PLACE, "off", "n")
-        joined = state.withColumn("off", F.when(F.col("level") > bit, off)).join(longer, ["level", *_PLACE, "off"], "left")
+        keyed, keyed_at = stage(_keyed(every.where(F.col("level") > bit), asked), "line-keys")
+        joined = state.withColumn("off", F.when(F.col("level") > bit, off)).join(_with_earlier(keyed), ["level", *_PLACE, "off"], "left")
         lines = F.col("lines") + F.when(F.col("n").isNotNull(), 1 << bit).otherwise(0)
         fresh, fresh_at = stage(joined.select(*_PLACE, "level", "r", "size", lines.alias("lines"), F.coalesce("n", "copies").alias("copies")), "line-runs")
         drop_stage(spark, keyed_at, state_at)
         state, state_at = fresh, fresh_at
+    return state, state_at
+
+
+def later_runs(documents: DataFrame) -> tuple[DataFrame, str]:
+    """d, k, p, size, lines, copies: for each place, the longest run from it that an earlier place begins too, its lines and how often it occurs."""
+    spark = documents.sparkSession
+    levels, paths = ranks(documents)
+    every = _every(levels)
+    state, state_at = _lengthened(spark, every, _deepest(every), len(levels))
     drop_stage(spark, *paths)
     return state.select(*_PLACE, "size", "lines", "copies"), state_at
 
@@ -123,15 +147,28 @@ def maximal_runs(documents: DataFrame) -> DataFrame:
 
 
 def deletions(documents: DataFrame, min_chars: int = 40, min_lines: int = 2) -> DataFrame:
-    """d, k, gone (places to delete, each once), longest (lines of the longest later copy)."""
-    runs, _ = later_runs(documents)
-    long = (F.col("lines") >= min_lines) | (F.col("size") >= min_chars)
-    # a long line that begins a run too short for deletion goes alone
-    some = _earlier(runs.where(long).withColumn("lines", F.when(F.col("lines") >= min_lines, F.col("lines")).otherwise(1)))
+    """d, k, gone (places to delete, each once), longest (lines of the longest later copy).
+
+    A run of more than min_lines lines is the union of its runs of just so many, so the intervals of that length decide
+    what goes; and only a document's deepest places can begin its longest run, so only those are lengthened."""
+    spark = documents.sparkSession
+    levels, paths = ranks(documents)
+    every, level = _every(levels), min(min_lines, 1 << len(levels)).bit_length() - 1
+    if min_lines == 1 << level:
+        runs = every.where("later").where(F.col("level") == level)
+    else:
+        of_level = every.where(F.col("level") == level)
+        runs = _with_earlier(_keyed(of_level, of_level.select("level", "r", F.lit(min_lines - (1 << level)).alias("off")).distinct()))
+    alone = every.where("later and level = 0").where(F.col("size") >= min_chars)
+    some = runs.select(*_PLACE, F.lit(min_lines).alias("lines")).unionByName(alone.select(*_PLACE, F.lit(1).alias("lines"))).groupBy(*_PLACE).agg(F.max("lines").alias("lines"))
     first, last = F.greatest("p", "end"), F.col("p") + F.col("lines") - 1
-    parts = some.select("d", "k", F.when(first <= last, F.sequence(first, last)).alias("part"), F.lit(0).alias("lines"))
-    longest = runs.groupBy("d", "k").agg(F.max("lines").alias("lines")).select("d", "k", F.lit(None).cast("array<int>").alias("part"), "lines")
-    return parts.unionByName(longest).groupBy("d", "k").agg(F.flatten(F.collect_list("part")).alias("gone"), F.max("lines").alias("longest"))
+    parts = _earlier(some).select("d", "k", F.when(first <= last, F.sequence(first, last)).alias("part"), F.lit(0).alias("lines"))
+    deep = _deepest(every).withColumn("top", F.max("level").over(Window.partitionBy("d", "k"))).where("level = top").drop("top")
+    state, _ = _lengthened(spark, every, deep, len(levels))
+    longest = state.groupBy("d", "k").agg(F.max("lines").alias("lines")).select("d", "k", F.lit(None).cast("array<int>").alias("part"), "lines")
+    parts, _ = stage(parts.unionByName(longest), "line-parts")
+    drop_stage(spark, *paths)
+    return parts.groupBy("d", "k").agg(F.flatten(F.collect_list("part")).alias("gone"), F.max("lines").alias("longest"))
 
 
 def _taken_out(values, gone):
