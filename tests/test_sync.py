@@ -346,3 +346,11 @@ def test_jdbc_plans(spark, monkeypatch):
     monkeypatch.setattr(source, "_page_chunks", lambda s: [Chunk(None, "(262144,0)"), Chunk("(262144,0)", None)])
     assert source.predicates(keyless, source.chunks(keyless)) == ["NOT ((ctid >= '(262144,0)'))", "((ctid >= '(262144,0)'))"]
     assert default_mode(keyed).sync_mode == "incremental"
+
+
+def test_message_ranges():
+    """Only what lies between two positions is asked of the broker; a partition that is new begins at its beginning."""
+    from tributary.sources.messages import range_options
+
+    got = range_options("t", {"0": 4}, {"0": 9, "1": 2})
+    assert {k: json.loads(v) for k, v in got.items()} == {"assign": {"t": [0, 1]}, "startingOffsets": {"t": {"0": 5, "1": -2}}, "endingOffsets": {"t": {"0": 10, "1": 3}}}

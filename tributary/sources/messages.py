@@ -6,6 +6,8 @@ With Spark's Kafka package on the class path the broker is read; offline, a fold
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +37,34 @@ def decode_json(messages: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]
     return good, rows.where(bad).drop("__row")
 
 
+def range_options(topic: str, after: dict[str, int] | None, until: dict[str, int]) -> dict[str, str]:
+    """Options by which the broker's reader takes just the messages after some offsets up to others, of the partitions known at the end.
+
+    A partition without an offset to start from is read from its beginning (-2); the reader's ends are exclusive."""
+    begin = {p: (after or {}).get(p, -3) + 1 for p in until}
+    return {
+        "assign": json.dumps({topic: sorted(int(p) for p in until)}),
+        "startingOffsets": json.dumps({topic: begin}),
+        "endingOffsets": json.dumps({topic: {p: end + 1 for p, end in until.items()}}),
+    }
+
+
 @register("messages")
 class MessageSource(Source):
     options = {"servers": "string", "path": "string", "schema": "string!", "topic": "string!"}
 
-    def _messages(self) -> DataFrame:
+    def _messages(self, after: dict | None = None, until: dict | None = None) -> DataFrame:
+        """Messages of the topic; of a range of offsets where its end is given."""
         if "path" in self.config:
-            return self.spark.read.parquet(self.config["path"]).where(F.col("topic") == self.config["topic"])
-        return self.spark.read.format("kafka").options(**{"kafka.bootstrap.servers": self.config["servers"], "subscribe": self.config["topic"]}).load()
+            rows = self.spark.read.parquet(self.config["path"]).where(F.col("topic") == self.config["topic"])
+            if until is None:
+                return rows
+            test = F.lit(False)
+            for p, end in until.items():  # as many conditions as partitions; they reach the scan
+                test = test | ((F.col("partition") == int(p)) & (F.col("offset") <= end) & (F.col("offset") > (after or {}).get(p, -1)))
+            return rows.where(test)
+        range_ = {"subscribe": self.config["topic"]} if until is None else range_options(self.config["topic"], after, until)
+        return self.spark.read.format("kafka").options(**{"kafka.bootstrap.servers": self.config["servers"], **range_}).load()
 
     def discover(self) -> list[Stream]:
         s = Stream(self.config["topic"], "", {}, [STRICT_CDC], ["_kafka_offset", "_kafka_partition"])
@@ -50,8 +72,11 @@ class MessageSource(Source):
         return [s]
 
     def table(self, stream: Stream) -> DataFrame:
+        return self._rows(self._messages())
+
+    def _rows(self, messages: DataFrame) -> DataFrame:
         """Rows, and messages that can't be parsed: those have their text in ``_corrupt_record`` and no other value."""
-        good, bad = decode_json(self._messages(), self.config["schema"])
+        good, bad = decode_json(messages, self.config["schema"])
         own = {f"_kafka_{n}": F.col(n) for n in ("offset", "partition", "timestamp")} | {"_kafka_key": F.col("key").cast("string"), "_corrupt_record": F.col("value").cast("binary")}
         bad = bad.select(*[c.alias(n) for n, c in own.items()]).withColumn("_corrupt_record", F.coalesce(F.try_validate_utf8(F.col("_corrupt_record").cast("string")), F.base64("_corrupt_record")))
         return good.unionByName(bad, allowMissingColumns=True)
@@ -60,8 +85,5 @@ class MessageSource(Source):
         return {str(r[0]): r[1] for r in self._messages().groupBy("partition").agg(F.max("offset")).collect()}
 
     def changes(self, stream: Stream, after: dict | None, until: dict) -> DataFrame:
-        test = F.lit(False)
-        for p, end in until.items():
-            test = test | ((F.col("_kafka_partition") == int(p)) & (F.col("_kafka_offset") <= end) & (F.col("_kafka_offset") > (after or {}).get(p, -1)))
-        rows = self.table(stream).where(test)
+        rows = self._rows(self._messages(after, until))
         return rows.withColumns({"__kind": F.lit("insert"), "__at": F.col("_kafka_timestamp"), "__position": F.col("_kafka_offset")})
