@@ -106,7 +106,7 @@ def parse_spec(spec: str) -> list[tuple[str, str, int]]:
     out = []
     for column, text in found:
         name, _, arg = text.partition("[")
-        if name not in ("identity", "void", "year", "month", "day", "hour", "bucket", "truncate") or (name in ("bucket", "truncate")) != bool(arg):
+        if name not in ("identity", "year", "month", "day", "hour", "bucket", "truncate") or (name in ("bucket", "truncate")) != bool(arg):
             raise ValueError(f"an unknown transform: {text}")
         out.append((INGESTED_AT if column.strip() == "now()" else column.strip(), name, int(arg[:-1]) if arg else 0))
     return out
@@ -119,14 +119,12 @@ def transform(df: DataFrame, column: str, name: str, arg: int = 0) -> Column:
         if not isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
             raise ValueError(f"{name} needs a time; {column} is {kind.simpleString()}")
         return by_time[name](c)
-    if name == "void":  # always null: one partition
-        return F.lit(None).cast("string")
     return c if name == "identity" else bucket(c, kind, arg) if name == "bucket" else truncate(c, kind, arg)
 
 
 def partition_name(column: str, name: str) -> str:
     """The name of a partition field: the column, with what its transform adds."""
-    return column + {"identity": "", "bucket": "_bucket", "truncate": "_trunc", "void": "_null"}.get(name, f"_{name}")
+    return column + {"identity": "", "bucket": "_bucket", "truncate": "_trunc"}.get(name, f"_{name}")
 
 
 def partition_path(df: DataFrame, spec: str) -> Column:
