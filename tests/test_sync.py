@@ -270,6 +270,9 @@ def test_commands(spark, tmp_path, capsys):
     assert Table(spark, str(tmp_path / "out/t")).read().count() == 1
     assert cli.main(["clear-destination", *common], spark) == 0
     assert Table(spark, str(tmp_path / "out/t")).version() == 0
+    assert cli.main(["check", *common], spark) == 0 and "the destination can be written" in capsys.readouterr().out
+    (tmp_path / "plain").write_text("no folder")
+    assert cli.main(["check", *common[:-1], str(tmp_path / "plain/out")], spark) == 1
     (tmp_path / "bad.json").write_text('{"kind": "tables"}')
     assert cli.main(["check", "--config", str(tmp_path / "bad.json")], spark) == 1
 

@@ -13,6 +13,7 @@ from tributary.catalog import Catalog, difference, merge, new_catalog
 from tributary.sources import files, jdbc, messages, tables  # noqa: F401  they register themselves
 from tributary.sources.base import REGISTRY
 from tributary.state import State
+from tributary.sinks.table import probe
 from tributary.sync import Sync
 
 
@@ -39,6 +40,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.command == "check":
             source.check()
             print("the source can be read")
+            if a.destination:
+                probe(spark, a.destination)
+                print("the destination can be written")
             return 0
         if a.command == "discover":
             found = new_catalog(source.discover())

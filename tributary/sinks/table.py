@@ -181,3 +181,14 @@ class Table:
 
     def clear(self) -> None:
         self._fs.delete(self._path(self.path), True)
+
+
+def probe(spark: SparkSession, destination: str) -> None:
+    """Commit a row to a table of its own in the destination, read it back and drop it; whatever fails is raised."""
+    t = Table(spark, f"{destination.rstrip('/')}/.check-{uuid.uuid4().hex}")
+    try:
+        t.commit(spark.range(1).selectExpr("id", "'text' as v"), batch_id="check")
+        if [tuple(r) for r in t.read().collect()] != [(0, "text")]:
+            raise RuntimeError("what was written isn't what is read")
+    finally:
+        t.clear()
