@@ -260,6 +260,40 @@ def test_line_dedup_maximal_runs(spark):
     assert got == [(2, 1, 3, 3), (3, 0, 2, 4), (3, 3, 2, 4), (4, 0, 4, 2)]
 
 
+def test_line_dedup_exact_runs_and_copies(spark):
+    """Runs beside each other, whose bounds don't settle them at once: each length, and the copies of those that no longer one holds."""
+    rng = random.Random(8)
+    a, b = ([f"{x}{i}" for i in range(23)] for x in "ab")
+    texts = [a, b, a[:13] + b[4:21], b[:9] + a[2:8] + a[1:20], [*a[5:9]] * 4, a, [rng.choice("xy") for _ in range(40)], [rng.choice("xy") for _ in range(40)]]
+    docs = spark.createDataFrame([(n, "\n".join(t)) for n, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    places = [(n, p) for n, t in enumerate(texts) for p in range(len(t))]
+    most = {}
+    for i, (n, p) in enumerate(places):
+        most[n, p] = max((next((k for k, (x, y) in enumerate(zip(texts[n][p:], texts[m][o:])) if x != y), min(len(texts[n]) - p, len(texts[m]) - o)) for m, o in places[:i]), default=0)
+    runs, _ = line_dedup.later_runs(docs)
+    got = {(r.d, r.p): (r.lines, r.copies) for r in runs.collect()}
+    assert {x: k for x, (k, _) in got.items()} == {x: k for x, k in most.items() if k}
+    heads = {(n, p): k for (n, p), k in most.items() if k and most.get((n, p - 1), 0) != k + 1}
+    assert {x: got[x] for x in heads} == {(n, p): (k, sum(texts[m][o : o + k] == texts[n][p : p + k] for m, o in places)) for (n, p), k in heads.items()}
+
+
+def test_line_dedup_work(spark, monkeypatch):
+    """A text is split once for its result, and copies of whole documents are settled by one round of keys, whatever their length."""
+    keys, stage = [], line_dedup.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        keys.extend([out[0].count()] * (name == "line-keys"))
+        return out
+
+    monkeypatch.setattr(line_dedup, "stage", counted)
+    docs = spark.createDataFrame([(n, "\n".join(f"line {i}" for i in range(45))) for n in range(3)], "doc_id long, text string")
+    done = line_dedup.deduplicate(docs)
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [(r.n_lines, r.n_removed, r.longest_run) for r in done.orderBy("doc_id").collect()] == [(45, 0, 0), (45, 45, 45), (45, 45, 45)]
+    assert keys == [3]
+
+
 def test_line_dedup_columns(spark, documents):
     """Columns with names that the operator uses itself come back as they were."""
     odd = documents.withColumns({n: F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in ("d", "_d", "gone", "longest", "p", "n_removed", "size", "D_")})

@@ -9,10 +9,13 @@ line's number in that sequence, a suffix begins at each place.
    key has no equal beyond and drops out, so each level has fewer rows; the loop ends when none are left. The ranks of
    a level are the intervals of the suffix array whose longest common prefix is at least 2^k lines.
 2. Intervals of other lengths, by halving. A prefix of L lines, 2^k < L < 2^(k+1), has as key the ranks at level k of
-   its first and of its last 2^k lines. For each place that has an earlier equal at level k, lengths are tried bit by
-   bit, from the largest: all suffixes of the place's interval are keyed at the length in question, and the length
-   stands if one of equal key begins earlier. What remains is the longest prefix that occurs at an earlier place: the
-   depth of the innermost interval in which the suffix isn't the first, hence a later copy that is maximal to the right.
+   its first and of its last 2^k lines. A place that has an earlier equal at level k at most has a run of 2^k to
+   2^(k+1) - 1 lines; and as a run of L lines leaves one of L - 1 or more to the next place, the bounds of a document's
+   places draw each other together. A length is tried by keying all suffixes of the place's interval at that length; it
+   stands if one of equal key begins earlier. First the upper bounds are tried, at places that do not follow from the
+   one before, then all places that are open still are halved. What remains is the longest prefix that occurs at an
+   earlier place: the depth of the innermost interval in which the suffix isn't the first, hence a later copy that is
+   maximal to the right.
 3. A later copy is deleted if it has at least ``min_lines`` lines, or is a line of at least ``min_chars`` characters.
    The first copy of each run stays.
 
@@ -78,8 +81,31 @@ def ranks(documents: DataFrame) -> tuple[list[DataFrame], list[str]]:
         key = ["r1", "r2"]
 
 
-def later_runs(documents: DataFrame) -> tuple[DataFrame, str]:
-    """d, k, p, size, lines, copies: for each place, the longest run from it that an earlier place begins too, its lines and how often it occurs."""
+def _bounded(state: DataFrame, halve: bool) -> DataFrame:
+    """state with its bounds drawn together within documents, ask (the length to try next, null for none) and whether its document is open.
+
+    Where a run of L lines has an earlier copy, one of L - 1 from the next place has, too. So low falls by one at most from
+    a place to the next, and high rises by one at most from a place to the one before; a place behind a gap binds none."""
+    of_document = Window.partitionBy("d", "k")
+    up, down = of_document.orderBy("p"), of_document.orderBy(F.desc("p"))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    state = state.withColumn("high", F.min(F.col("high") + F.col("p")).over(down.rowsBetween(*so_far)) - F.col("p"))
+    low = F.max(F.col("low") + F.col("p")).over(up.rowsBetween(*so_far)) - F.col("p")
+    # what the place before has handed on is its run without the first line, of which no number of copies is known
+    state = state.withColumns({"new": low, "copies": F.when(low == F.col("low"), F.col("copies"))}).withColumn("low", F.col("new")).drop("new")
+    wide = F.col("low") < F.col("high")
+    if halve:
+        ask = F.when(wide, F.col("low") + F.expr("(high - low + 1) div 2").cast("int"))
+    else:  # a place whose high is that of the place before less one is settled with it
+        handed = (F.lag("p").over(up) == F.col("p") - 1) & (F.lag(wide).over(up)) & (F.lag("high").over(up) == F.col("high") + 1)
+        ask = F.when(wide & ~F.coalesce(handed, F.lit(False)), F.col("high"))
+    return state.withColumns({"ask": ask, "open": F.max(wide).over(of_document)})
+
+
+def later_runs(documents: DataFrame) -> tuple[DataFrame, list[str]]:
+    """d, k, p, size, lines, copies: for each place, the longest run from it that an earlier place begins too, its lines and how often it occurs.
+
+    copies is null where the run is that from the place before without its first line; with the paths to drop after use."""
     spark = documents.sparkSession
     levels, paths = ranks(documents)
     every = None
@@ -87,25 +113,37 @@ def later_runs(documents: DataFrame) -> tuple[DataFrame, str]:
         level = level.withColumn("level", F.lit(i))
         every = level if every is None else every.unionByName(level)
     # the deepest level at which an earlier place is equal
-    top = every.where("later").groupBy(*_PLACE).agg(F.max(F.struct("level", "r", "n", "size")).alias("x"))
-    run = F.expr("shiftleft(1, x.level)").alias("lines")
-    state, state_at = stage(top.select(*_PLACE, "x.level", "x.r", "x.size", run, F.col("x.n").alias("copies")), "line-runs")
-    members = every.select("level", *_PLACE, "r")
-    for bit in reversed(range(max(0, len(levels) - 2))):
-        off = F.col("lines") + (1 << bit) - F.expr("shiftleft(1, level)")
-        asked = state.where(F.col("level") > bit).select("level", "r", off.alias("off")).distinct()
+    top = every.where("later").groupBy(*_PLACE).agg(F.max("level").alias("level"), F.max_by("r", "level").alias("r"), F.max_by("n", "level").alias("copies"), F.max("size").alias("size"))
+    bounds = {"low": F.expr("shiftleft(1, level)"), "high": F.expr("shiftleft(2, level) - 1")}
+    state, state_at = stage(_bounded(top.withColumns(bounds), halve=False), "line-runs")
+    settled, settled_at = [state.where("not open")], [state_at]
+    members, near_at = every.where("level > 0").select("level", *_PLACE, "r"), []
+    while not (state := state.where("open")).isEmpty():
+        if len(settled) > 1:  # intervals that are open, and what lies beside their places; no others open later
+            of_open = members.join(state.select("level", "r").distinct(), ["level", "r"], "left_semi").select("level", "d", "k").distinct()
+            members, at = stage(members.join(of_open, ["level", "d", "k"], "left_semi"), "line-near")
+            drop_stage(spark, *near_at)
+            near_at = [at]
         ahead = members.select("level", "d", "k", F.col("p").alias("at"), F.col("r").alias("r2"))
-        keyed = members.where(F.col("level") > bit).join(asked, ["level", "r"]).withColumn("at", F.col("p") + F.col("off")).join(ahead, ["level", "d", "k", "at"])
+        off = F.col("ask") - F.expr("shiftleft(1, level)")
+        asked = state.where("ask is not null").select("level", "r", off.alias("off")).distinct()
+        keyed = members.join(asked, ["level", "r"]).withColumn("at", F.col("p") + F.col("off")).join(ahead, ["level", "d", "k", "at"])
         keyed, keyed_at = stage(keyed.select("level", "r", "off", "r2", *_PLACE), "line-keys")
         firsts = keyed.groupBy("level", "r", "off", "r2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
         longer = keyed.join(firsts, ["level", "r", "off", "r2"]).where(F.struct(*_PLACE) > F.col("first")).select("level", *_PLACE, "off", "n")
-        joined = state.withColumn("off", F.when(F.col("level") > bit, off)).join(longer, ["level", *_PLACE, "off"], "left")
-        lines = F.col("lines") + F.when(F.col("n").isNotNull(), 1 << bit).otherwise(0)
-        fresh, fresh_at = stage(joined.select(*_PLACE, "level", "r", "size", lines.alias("lines"), F.coalesce("n", "copies").alias("copies")), "line-runs")
-        drop_stage(spark, keyed_at, state_at)
-        state, state_at = fresh, fresh_at
-    drop_stage(spark, *paths)
-    return state.select(*_PLACE, "size", "lines", "copies"), state_at
+        joined = state.withColumn("off", off).join(longer, ["level", *_PLACE, "off"], "left")
+        stands = F.col("n").isNotNull()
+        tried = {"low": F.when(stands, F.col("ask")).otherwise(F.col("low")), "high": F.when(F.col("ask").isNotNull() & ~stands, F.col("ask") - 1).otherwise(F.col("high"))}
+        fresh = joined.withColumns(tried | {"copies": F.coalesce("n", "copies")}).select(*state.columns).drop("ask", "open")
+        state, state_at = stage(_bounded(fresh, halve=True), "line-runs")
+        drop_stage(spark, keyed_at)
+        settled.append(state.where("not open"))
+        settled_at.append(state_at)
+    drop_stage(spark, *paths, *near_at)
+    runs = settled[0]
+    for more in settled[1:]:
+        runs = runs.unionByName(more)
+    return runs.select(*_PLACE, "size", F.col("low").alias("lines"), "copies"), settled_at
 
 
 def _earlier(documents_runs: DataFrame) -> DataFrame:
@@ -134,29 +172,34 @@ def deletions(documents: DataFrame, min_chars: int = 40, min_lines: int = 2) ->
     return parts.unionByName(longest).groupBy("d", "k").agg(F.flatten(F.collect_list("part")).alias("gone"), F.max("lines").alias("longest"))
 
 
-def _taken_out(values, gone):
-    """The elements of values with whether their numbers are in gone (which has each once), in time that is linear but for a sort.
+def _once(value, then):
+    """then(value) with value computed once, however often then names it: lambda functions don't share what they compute."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _cut(lines, gone):
+    """n: how many lines aren't blank; text: the lines but those of them whose numbers are in gone, null if none goes."""
+    at = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+
+    def kept(at):
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(gone, lambda p: F.get(at, p)))
+        text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+        return F.struct(F.size(at).alias("n"), F.when(F.size(gone) > 0, text).alias("text"))
 
-    All numbers and those in gone are sorted together: a number that comes twice is in gone."""
-    both = F.array_sort(F.concat(F.sequence(F.lit(0), F.size(values) - 1), gone))
-    twice = F.zip_with(both, F.slice(both, 2, F.size(both)), lambda x, y: F.struct(x.alias("i"), F.coalesce(x == y, F.lit(False)).alias("out")))
-    firsts = F.filter(F.zip_with(twice, F.concat(F.array(F.lit(-1)), both), lambda x, y: F.struct(x["i"].alias("i"), x["out"].alias("out"), y.alias("before"))), lambda x: x["i"] != x["before"])
-    return F.zip_with(values, firsts, lambda x, y: F.struct(x.alias("x"), y["out"].alias("out")))
+    return _once(at, kept)
 
 
 def deduplicate(documents: DataFrame, min_chars: int = 40, min_lines: int = 2, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """The columns of documents, text without later copies, with the numbers of its lines, of those removed, and of the lines of its longest later copy.
 
     A column of documents that has one of these three names gives way to them; give other names to keep it."""
-    d, k, gone_at, longest_at = unused([*documents.columns, *names], "d", "k", "gone", "longest")
+    d, k, gone_at, longest_at, cut_at = unused([*documents.columns, *names], "d", "k", "gone", "longest", "cut")
     marks = deletions(documents, min_chars, min_lines).withColumnsRenamed({"d": d, "k": k, "gone": gone_at, "longest": longest_at})
     own_d, own_k = _document()
     joined = documents.withColumns({d: own_d, k: own_k}).join(marks, [d, k], "left")
-    lines, gone = F.split("text", "\n"), F.coalesce(F.col(gone_at), F.array().cast("array<int>"))
-    full = F.transform(_numbered(lines), lambda x: x["line"])
-    out = F.transform(F.filter(_taken_out(full, gone), lambda x: x["out"]), lambda x: x["x"])
-    kept = F.transform(F.filter(_taken_out(lines, out), lambda x: ~x["out"]), lambda x: x["x"])
-    text = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    counts = dict(zip(names, (F.coalesce(F.size(full), F.lit(0)), F.size(gone), F.coalesce(F.col(longest_at), F.lit(0))), strict=True))
+    gone = F.coalesce(F.col(gone_at), F.array().cast("array<int>"))
+    joined = joined.withColumn(cut_at, _once(F.split("text", "\n"), lambda lines: _cut(lines, gone)))
+    text = F.coalesce(F.col(cut_at)["text"], F.col("text"))
+    counts = dict(zip(names, (F.coalesce(F.col(cut_at)["n"], F.lit(0)), F.size(gone), F.coalesce(F.col(longest_at), F.lit(0))), strict=True))
     rest = [c for c in documents.columns if c.lower() not in {n.lower() for n in names}]
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in rest], *[v.alias(n) for n, v in counts.items()])
