@@ -357,3 +357,27 @@ def test_message_ranges():
 
     got = range_options("t", {"0": 4}, {"0": 9, "1": 2})
     assert {k: json.loads(v) for k, v in got.items()} == {"assign": {"t": [0, 1]}, "startingOffsets": {"t": {"0": 5, "1": -2}}, "endingOffsets": {"t": {"0": 10, "1": 3}}}
+
+
+def test_backfill_of_many_chunks_has_few_commits(spark, tmp_path, monkeypatch):
+    """The number of commits doesn't grow with the chunks, and a restart whose destination is ahead lands no row twice."""
+    spark.range(120).selectExpr("id as k", "'a' as v").write.parquet(str(tmp_path / "t.parquet"))
+    source = TableSource(spark, {"path": str(tmp_path), "tables": ["t"], "keys": {"t": ["k"]}, "chunk_rows": 1})
+    state, path = State(str(tmp_path / "state.json")), str(tmp_path / "out")
+    cat = catalog(source, "incremental", "k")
+    remove, calls = state.remove_chunks, []
+
+    def broken(stream, chunks):
+        calls.append(chunks)
+        if len(calls) == 3:
+            raise RuntimeError("killed")
+        remove(stream, chunks)
+
+    monkeypatch.setattr(state, "remove_chunks", broken)
+    with pytest.raises(RuntimeError):
+        Sync(spark, source, path, state, ingested_at=AT, chunks_per_commit=2).run(cat)
+    assert len(state.chunks("t")) == 120 - 2 * 8
+    sync = Sync(spark, source, path, State.load(str(tmp_path / "state.json")), ingested_at=AT, chunks_per_commit=2)
+    sync.run(cat)
+    assert sync.table(cat.streams[0]).version() == 15 + 1
+    assert landed(sync.table(cat.streams[0])) == [(k, "a", "r") for k in range(120)]

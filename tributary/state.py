@@ -55,8 +55,16 @@ class State:
     def chunks(self, stream: str):
         return self.streams.get(stream, {}).get("chunks")
 
-    def set_chunks(self, stream: str, chunks: list) -> None:
-        self.streams.setdefault(stream, {})["chunks"] = [list(c) for c in chunks]
+    def chunks_per_commit(self, stream: str) -> int | None:
+        """As the plan of the chunks had it; None in files from before it was kept."""
+        return self.streams.get(stream, {}).get("chunks_per_commit")
+
+    def set_chunks(self, stream: str, chunks: list, per_commit: int | None = None) -> None:
+        own = self.streams.setdefault(stream, {})
+        own["chunks"] = [list(c) for c in chunks]
+        own.pop("chunks_per_commit", None)
+        if per_commit:
+            own["chunks_per_commit"] = per_commit
         self.save()
 
     def remove_chunk(self, stream: str, chunk) -> None:

@@ -7,6 +7,7 @@ has and the state lacks is adopted, not applied again.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,9 @@ from tributary.sources.base import Source
 from tributary.state import State
 from tributary.streaming.changes import stamp
 
+#: Commits of a backfill at most, whatever the number of its chunks.
+COMMITS = 16
+
 
 class Sync:
     def __init__(self, spark: SparkSession, source: Source, destination: str, state: State, *, ingested_at: dt.datetime | None = None, strict: bool = True, chunks_per_commit: int = 16, streams_at_once: int = 4):
@@ -77,11 +81,17 @@ class Sync:
         self.table(s).commit(rows, batch_id=f"{s.id}_full", replace=True, partition=self._partition(c))
 
     def backfill(self, c: Configured, s: Stream, bounds: dict | None = None) -> None:
-        """The chunks that are left, some consecutive ones at a time, committed under an id of their own."""
+        """The chunks that are left, some consecutive ones at a time, committed under an id of their own.
+
+        A commit has ``chunks_per_commit`` chunks, or more where the plan is longer than ``COMMITS`` such commits: a
+        commit costs a job and a pass over the log and the state, so their number mustn't grow with the table. The state
+        keeps how many, since a restart must make the same groups to know those that the destination has."""
         if self.state.chunks(s.id) is None:
-            self.state.set_chunks(s.id, [(x.low, x.high) for x in self.source.chunks(s)])
+            plan = [(x.low, x.high) for x in self.source.chunks(s)]
+            self.state.set_chunks(s.id, plan, max(self.chunks_per_commit, math.ceil(len(plan) / COMMITS)))
         table, left = self.table(s), list(self.state.chunks(s.id))
-        for group in (left[i : i + self.chunks_per_commit] for i in range(0, len(left), self.chunks_per_commit)):
+        each = self.state.chunks_per_commit(s.id) or self.chunks_per_commit
+        for group in (left[i : i + each] for i in range(0, len(left), each)):
             rows = self.source.scan_many(s, [Chunk(low, high) for low, high in group])
             if bounds:
                 rows = rows.where(threshold(bounds))
