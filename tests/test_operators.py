@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,13 @@ def test_state(tmp_path):
     s.set_cursor("t", a=str(dt.date(2024, 1, 1)))
     s.reset("t")
     assert State.load(path).streams == {}
+
+
+def test_state_drops_many_chunks_at_once(tmp_path):
+    """Done chunks are looked up, not searched for; ends of chunks of files are lists."""
+    s = State.load(str(tmp_path / "state.json"))
+    plan = [[["f", str(i)], None] for i in range(40_000)]
+    s.set_chunks("t", plan)
+    began = time.monotonic()
+    s.remove_chunks("t", [(("f", str(i)), None) for i in range(20_000)])
+    assert s.chunks("t") == plan[20_000:] and time.monotonic() - began < 10

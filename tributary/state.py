@@ -71,10 +71,10 @@ class State:
         self.remove_chunks(stream, [chunk])
 
     def remove_chunks(self, stream: str, chunks: list) -> None:
-        done = [list(c) for c in chunks]
+        done = {_text(c) for c in chunks}
         with self._lock:
             left = self.streams.get(stream, {}).get("chunks") or []
-            self.streams[stream]["chunks"] = [c for c in left if list(c) not in done]
+            self.streams[stream]["chunks"] = [c for c in left if _text(c) not in done]
         self.save()
 
     def set_position(self, position: dict, *finished: str) -> None:
@@ -93,5 +93,10 @@ class State:
         self.save()
 
 
+def _text(chunk) -> str:
+    """A chunk's text as the state file has it, to be looked up by; ends can be lists."""
+    return json.dumps(list(chunk), default=str)
+
+
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
