@@ -381,3 +381,26 @@ def test_backfill_of_many_chunks_has_few_commits(spark, tmp_path, monkeypatch):
     sync.run(cat)
     assert sync.table(cat.streams[0]).version() == 15 + 1
     assert landed(sync.table(cat.streams[0])) == [(k, "a", "r") for k in range(120)]
+
+
+def test_lost_state_of_many_chunks(spark, tmp_path, monkeypatch):
+    """Without the state the same groups are planned again, and those that the destination has are adopted, few as they are."""
+    spark.range(120).selectExpr("id as k", "'a' as v").write.parquet(str(tmp_path / "t.parquet"))
+    source = TableSource(spark, {"path": str(tmp_path), "tables": ["t"], "keys": {"t": ["k"]}, "chunk_rows": 1})
+    state, path = State(), str(tmp_path / "out")
+    cat = catalog(source, "incremental", "k", append_mode=True)
+
+    def broken(stream, chunks):
+        if chunks[0][0] is not None:
+            raise RuntimeError("killed")
+        State.remove_chunks(state, stream, chunks)
+
+    monkeypatch.setattr(state, "remove_chunks", broken)
+    with pytest.raises(RuntimeError):
+        Sync(spark, source, path, state, ingested_at=AT, chunks_per_commit=2).run(cat)
+    lost = State()
+    sync = Sync(spark, source, path, lost, ingested_at=AT, chunks_per_commit=2)
+    assert sync.table(cat.streams[0]).read().count() == 2 * 8
+    sync.run(cat)
+    assert sync.table(cat.streams[0]).version() == 15 + 1 and lost.cursor("t", "k") == 119
+    assert landed(sync.table(cat.streams[0])) == [(k, "a", "r") for k in range(120)]
