@@ -134,3 +134,33 @@ def test_evolution():
     with pytest.raises(ValueError, match="can't change"):
         evolve.evolve_strict({"a": S.INT64}, {"a": S.STRING})
     assert evolve.evolve_widening({"a": S.INT64}, {"a": S.BOOL, "b": S.FLOAT32}) == {"a": S.INT64, "b": S.FLOAT32}
+
+
+def test_change_stream_parses_an_event_once(spark):
+    """Wrapped values, images before deletes and odd events; the event's text is read by one expression, filters on its fields don't read it again."""
+    import json
+
+    from tributary import types as S
+    from tributary.streaming import logs
+
+    at = {"$timestamp": {"t": 5, "i": 7}}
+    full = {"k": {"$numberLong": "1"}, "d": {"$date": {"$numberLong": "1000"}}, "f": {"$numberDouble": "NaN"}, "s": {"$oid": "ab"}, "more": [1]}
+    events = [
+        {"operationType": "insert", "fullDocument": full, "documentKey": {"k": 1}, "clusterTime": at},
+        {"operationType": "replace", "fullDocument": {"k": 2, "d": "2024-01-01T00:00:00Z", "f": 1.5, "s": {"a": 1}}, "clusterTime": at},
+        {"operationType": "delete", "documentKey": {"k": {"$numberInt": "3"}}, "clusterTime": at},
+        {"operationType": "delete", "fullDocumentBeforeChange": {"k": 4, "s": {"$timestamp": {"t": 9, "i": 1}}}, "documentKey": {"k": 4}, "clusterTime": at},
+        {"operationType": "drop", "clusterTime": at},
+    ]
+    texts = spark.createDataFrame([(json.dumps(e),) for e in events] + [("no json",), (None,)], "data string")
+    found = logs.change_stream(texts, {"k": S.INT64, "d": S.STRING, "f": S.FLOAT64, "s": S.STRING})
+    rows = sorted(tuple(r) for r in found.select("k", "d", "f", "s", "__kind", F.unix_seconds("__at"), "__position").collect())
+    place = (5, (5 << 32) + 7)
+    assert rows == [
+        (1, "1970-01-01T00:00:01.000Z", None, "ab", "insert", *place),
+        (2, "2024-01-01T00:00:00Z", 1.5, '{"a":1}', "update", *place),
+        (3, None, None, None, "delete", *place),
+        (4, None, None, "9", "delete", *place),
+    ]
+    plan = found.where("__kind <> 'insert'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("data#") == 2 and "get_json_object(data#" not in plan  # in the relation, and in the one parser

@@ -47,25 +47,49 @@ def binlog(events: DataFrame, schema: dict[str, str]) -> DataFrame:
     return one.withColumn("v", F.map_from_arrays("names", "r")).select(*_typed(F.col("v"), schema), F.col("event").alias("__kind"), at.alias("__at"), F.struct("file", "pos", "i").alias("__position"))
 
 
+_EVENT = "operationType string, fullDocument string, fullDocumentBeforeChange string, documentKey string, clusterTime struct<`$timestamp`: struct<t: string, i: string>>"
+
+
 def change_stream(events: DataFrame, schema: dict[str, str], text: str = "data") -> DataFrame:
-    """Documents' change events as extended JSON texts. A replacement is an update; a deleted document has its image from before, if recorded, else its key."""
-    field = lambda path: F.get_json_object(text, f"$.{path}")
-    kind = field("operationType")
-    document = F.when(kind == "delete", F.coalesce(field("fullDocumentBeforeChange"), field("documentKey"))).otherwise(field("fullDocument"))
-    seconds, nth = field("clusterTime['$timestamp'].t").cast("bigint"), field("clusterTime['$timestamp'].i").cast("bigint")
-    values = F.from_json(document, "map<string,string>")
-    rows = events.where(kind.isin("insert", "update", "replace", "delete")).withColumn("v", values)
-    return rows.select(*_typed(F.transform_values("v", lambda _, x: plain_value(x)), schema), F.when(kind == "replace", "update").otherwise(kind).alias("__kind"), F.timestamp_seconds(seconds).alias("__at"), (F.shiftleft(seconds, 32) + nth).alias("__position"))
+    """Documents' change events as extended JSON texts. A replacement is an update; a deleted document has its image from before, if recorded, else its key.
+
+    Each step is a projection of its own, so that an event, its document and a wrapped value are parsed once each. The
+    event comes out of a generator, below which filters on its fields, which would parse it again, can't go."""
+    parsed = events.select(F.inline(F.array(F.from_json(text, _EVENT))))
+    kind, stamp = F.col("operationType"), F.col("clusterTime.$timestamp")
+    document = F.when(kind == "delete", F.coalesce("fullDocumentBeforeChange", "documentKey")).otherwise(F.col("fullDocument"))
+    known = parsed.where(kind.isin("insert", "update", "replace", "delete"))
+    rows = known.select(kind.alias("kind"), stamp["t"].cast("bigint").alias("seconds"), stamp["i"].cast("bigint").alias("nth"), F.from_json(document, "map<string,string>").alias("v"))
+    rest, places = ("kind", "seconds", "nth"), range(len(schema))
+    rows = rows.select(*rest, *[F.try_element_at("v", F.lit(n)).alias(f"t{i}") for i, n in enumerate(schema)])
+    rows = rows.select(*rest, *[x for i in places for x in (F.col(f"t{i}"), wrapper(F.col(f"t{i}")).alias(f"w{i}"))])
+    rows = rows.select(*rest, *[unwrapped(F.col(f"t{i}"), F.col(f"w{i}")).alias(f"t{i}") for i in places])
+    rows = rows.select(*rest, *[finite(F.col(f"t{i}")).alias(f"t{i}") for i in places])
+    values = [coerce(F.col(f"t{i}"), T.StringType(), t).cast(S.to_spark(t)).alias(n) for i, (n, t) in enumerate(schema.items())]
+    return rows.select(*values, F.when(F.col("kind") == "replace", "update").otherwise(F.col("kind")).alias("__kind"), F.timestamp_seconds("seconds").alias("__at"), (F.shiftleft("seconds", 32) + F.col("nth")).alias("__position"))
+
+
+def wrapper(text: Column) -> Column:
+    """The fields of an extended-JSON wrapper; null for other texts."""
+    return F.when(text.startswith('{"$'), F.from_json(text, "map<string,string>"))
+
+
+def unwrapped(text: Column, own: Column) -> Column:
+    """The value in a wrapper with these fields (dates, object ids, numbers, timestamps in seconds) as text; other texts as they are."""
+    get = lambda name: F.try_element_at(own, F.lit(name))
+    kinds = ("$oid", "$numberLong", "$numberInt", "$numberDouble", "$numberDecimal", "$date", "$symbol")
+    dated = F.when(get("$date").startswith("{"), F.get_json_object(get("$date"), "$['$numberLong']"))
+    iso = F.date_format(F.timestamp_millis(dated.cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.when(own.isNotNull(), F.coalesce(iso, *[get(k) for k in kinds], F.get_json_object(get("$timestamp"), "$.t"), text)).otherwise(text)
+
+
+def finite(text: Column) -> Column:
+    return F.when(~text.isin("NaN", "Infinity", "-Infinity"), text)
 
 
 def plain_value(text: Column) -> Column:
     """The value of one extended-JSON wrapper (object ids, numbers, dates, timestamps in seconds) as text; other texts as they are, values that aren't finite null."""
-    kinds = ("$oid", "$numberLong", "$numberInt", "$numberDouble", "$numberDecimal", "$date", "$symbol")
-    inner = F.coalesce(*[F.get_json_object(text, f"$['{k}']") for k in kinds], F.get_json_object(text, "$['$timestamp'].t"))
-    dated = F.get_json_object(text, "$['$date']['$numberLong']")
-    iso = F.date_format(F.timestamp_millis(dated.cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    found = F.when(text.startswith('{"$'), F.coalesce(iso, inner, text)).otherwise(text)
-    return F.when(~found.isin("NaN", "Infinity", "-Infinity"), found)
+    return finite(unwrapped(text, wrapper(text)))
 
 
 def change_table(changes: DataFrame, after: str | None, until: str) -> DataFrame:
