@@ -404,3 +404,20 @@ def test_lost_state_of_many_chunks(spark, tmp_path, monkeypatch):
     sync.run(cat)
     assert sync.table(cat.streams[0]).version() == 15 + 1 and lost.cursor("t", "k") == 119
     assert landed(sync.table(cat.streams[0])) == [(k, "a", "r") for k in range(120)]
+
+
+def test_xml_files_are_many_and_alike(spark, tmp_path):
+    """Columns are those of all files, also for some of them; the registered query's documents are of bounded size."""
+    from tributary.plans.sync_queries import files_xml
+
+    base = tmp_path / "files"
+    (base / "x").mkdir(parents=True)
+    (base / "x/a.xml").write_text("<root><order id='7'><n>1</n></order></root>")
+    (base / "x/b.xml").write_text("<root><order><n>2</n><n>3</n><m>4</m></order></root>")
+    src = FileSource(spark, {"path": str(base), "format": "xml", "row_identifier": "order"})
+    stream = src.discover()[0]
+    for path, want in (("a", ("7", None, "1")), ("b", (None, "4", "3"))):
+        assert [tuple(r) for r in src.read(stream, [f"file:{base}/x/{path}.xml"]).select("_id", "m", "n").collect()] == [want]
+    spark.range(450_000).selectExpr("id as o_orderkey", "'O' as o_orderstatus", "1.0d as o_totalprice").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    found = files_xml(spark, str(tmp_path))
+    assert len(found.inputFiles()) >= 3 and found.distinct().count() == 450_000

@@ -232,20 +232,10 @@ def files_json(spark, sf):
 
 @query("SELECT o_orderkey, o_orderstatus, CAST(o_orderkey % 7 AS VARCHAR) AS m FROM orders")
 def files_xml(spark, sf):
-    def write(df, path):
-        df.select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") % 7).alias("_m")).write.format("xml").option("rowTag", "order").option("rootTag", "orders").save(f"{path}/x")
-
+    """Documents of up to 200,000 orders, one a file: a document is read by one task."""
     folder = scratch(spark)
-    write(table(spark, sf, "orders"), f"{folder}/raw")
-    rows = spark.read.format("xml").option("rowTag", "order").option("inferSchema", False).load(f"{folder}/raw/x")
-    text = rows.select(F.format_string("<order m='%s'><o_orderkey>%s</o_orderkey><o_orderstatus>%s</o_orderstatus></order>", "_m", "o_orderkey", "o_orderstatus").alias("value"))
-    text.agg(F.concat(F.lit("<orders>"), F.array_join(F.collect_list("value"), ""), F.lit("</orders>")).alias("value")).coalesce(1).write.text(f"{folder}/text")
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/text")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
-    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{folder}/files/orders"))
-    fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{folder}/files/orders/orders.xml"))
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") % 7).alias("_m"))
+    rows.write.format("xml").option("rowTag", "order").option("rootTag", "orders").option("maxRecordsPerFile", 200_000).save(f"{folder}/files/orders")
     source = FileSource(spark, {"path": f"{folder}/files", "format": "xml", "row_identifier": "order"})
     found = source.table(_stream(source))
     return found.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", F.col("_m").alias("m"))

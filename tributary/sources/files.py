@@ -219,9 +219,12 @@ class FileSource(Source):
         return raw.select(*out, modified_column().alias(MODIFIED))
 
     def _xml(self, stream: Stream, paths: list[str]) -> DataFrame:
-        """Elements of the row's tag; attributes have an underscore before their name, a repeated child's last value counts."""
+        """Elements of the row's tag; attributes have an underscore before their name, a repeated child's last value counts.
+
+        A file is read by one task, whatever its size; columns are those of all files, looked for in one pass."""
         reader = self.spark.read.format("xml").option("rowTag", self.config.get("row_identifier", "row")).option("attributePrefix", "_").option("inferSchema", False)
-        raw = reader.load(paths)
+        schema = self._learned(stream, "columns", lambda every: reader.load(every).schema)
+        raw = reader.schema(schema).load(paths)
         out = []
         for f in raw.schema:
             c, kind = F.col(f"`{f.name}`"), f.dataType
